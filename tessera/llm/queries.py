@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -29,9 +35,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_roundtrip
+
+    return warc_roundtrip(_table(spark, sf_dir, "pages"), revisit_from=0)
+
+
 QUERIES = {
+    "op2_html_text": op2_html_text,
     "op3_token_counts": op3_token_counts,
     "op6_token_shards": op6_token_shards,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
 }
 ORACLES: dict[str, str] = {}
