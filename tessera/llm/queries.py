@@ -23,6 +23,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_shards import token_shards_roundtrip
 
@@ -44,6 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_token_counts": op3_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_token_shards": op6_token_shards,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
