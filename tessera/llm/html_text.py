@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import bounded_batches
+
 # HTML elements by kind.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,4 +244,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x) for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import cached_bpe
-from .storage import written
+from .storage import bounded_batches, written
 
 
 class CapacityTree:
@@ -127,6 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048) -> Da
     Sequence ids are dense: packed windows first, then the full ones. ``docs`` needs doc_id and text; other columns are
     ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, rank long"
     # The written table fixes each piece's rank, whatever happens to executors later.

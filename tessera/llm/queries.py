@@ -47,6 +47,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(_table(spark, sf_dir, "pages"), revisit_from=0)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_token_counts": op3_token_counts,
@@ -54,5 +60,6 @@ QUERIES = {
     "op6_token_shards": op6_token_shards,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}

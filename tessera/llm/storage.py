@@ -56,3 +56,21 @@ def put_atomic(uri: str, write) -> None:
     with fs.open_output_stream(temporary, buffer_size=1 << 20) as out:
         write(out)
     fs.move(temporary, path)
+
+
+#: Bytes that one Arrow batch sent to Python may hold: bounds worker memory where texts are long.
+BATCH_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES; a smaller one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def shared_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a written table) marked for broadcast where it has at most ``rows`` rows, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= rows else df

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import cached_bpe, vocabulary_path
-from .storage import fresh_path, written
+from .storage import bounded_batches, fresh_path, written
 
 #: Digests that occur repeatedly or are cached: broadcast up to this many (about 100 bytes each), joined by a shuffle beyond.
 BROADCAST_DIGESTS = 200_000
@@ -43,6 +43,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     encoded once, as the row with their smallest doc_id. ``cache_path`` is a Parquet folder (made if missing,
     appended to); None uses a new one in shared storage.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     cache_path = cache_path or fresh_path(spark, "token-count-cache")

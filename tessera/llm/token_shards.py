@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import cached_bpe
 from .kernels import mix
-from .storage import fresh_path, open_fs, put_atomic, written
+from .storage import bounded_batches, fresh_path, open_fs, put_atomic, written
 
 MAGIC, END_MAGIC = b"TSHARD1\0", b"TSHEND1\0"
 #: Keys per index bucket, about; a bucket is built and searched in one task.
@@ -239,6 +239,7 @@ def token_shards_roundtrip(docs: DataFrame, tokenizer: str, end_id: int) -> Data
     Null or empty text: only the end id. Repeated ids: one row for each copy, in text order. A null doc_id is written
     and counted in ``start`` but has no key, so it is not returned.
     """
+    bounded_batches(docs.sparkSession)
     path = fresh_path(docs.sparkSession, "token-shards")
     manifest = write_token_shards(docs, path, tokenizer, end_id)
     found = lookup(build_index(manifest), manifest)

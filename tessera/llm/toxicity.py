@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import lower_ascii, prefix_hash, range_hash, text_chunks
-from .storage import written
+from .storage import bounded_batches, written
 
 #: Labelled rows that lexicon, trees and calibration are fitted on at most (those with the smallest hash of their id).
 SAMPLE_ROWS = 20_000
@@ -306,6 +306,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
 
     Null and empty text have all features 0 and get that point's score. Repeated rows stay; row by row, no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
 
     def run(batches):

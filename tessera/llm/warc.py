@@ -17,7 +17,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import fresh_path, open_fs, put_atomic, written
+from .storage import bounded_batches, fresh_path, open_fs, put_atomic, written
 
 #: Bytes after which a new WARC member begins, and that one range read takes at most (or one longer record).
 MEMBER_BYTES = 64 << 20
@@ -259,5 +259,6 @@ def read_pages(spark, path: str, parts: list[int]) -> DataFrame:
 
 def warc_roundtrip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """Write all pages, then read the archives back. See ``write_pages`` for nulls, ties and repeated rows; empty table: no rows."""
+    bounded_batches(pages.sparkSession)
     path = fresh_path(pages.sparkSession, "warc")
     return read_pages(pages.sparkSession, path, write_pages(pages, path, revisit_from))
