@@ -35,6 +35,12 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards_roundtrip(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeat_report
+
+    return repeat_report(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_token_shards": op6_token_shards,
+    "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_near_duplicates": op10_near_duplicates,
