@@ -278,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = sample.select("doc_id", "text", "toxic").mapInArrow(_featurizer(model, ("doc_id", "toxic")), f"doc_id long, toxic int, {', '.join(f'{c} double' for c in FEATURES)}").orderBy("doc_id").toPandas()
     x, y, ids = rows[list(FEATURES)].to_numpy(), rows.toxic.to_numpy().astype(float), rows.doc_id.to_numpy()
     holdout = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(4) == 0
-    if holdout.all() or not holdout.any() or y[~holdout].min() == y[~holdout].max():
+    # A small sample calibrates on all of itself: a part of it would hold too few toxic rows.
+    if n_toxic < 400 or holdout.all() or not holdout.any() or y[~holdout].min() == y[~holdout].max():
         holdout = np.zeros(len(y), bool)
     model.trees.fit(x[~holdout], y[~holdout])
     on = holdout if holdout.any() else ~holdout
