@@ -1,6 +1,7 @@
 import random
 import re
 
+from tessera.llm import near_dup
 from tessera.llm.components import components
 from tessera.llm.near_dup import near_duplicates
 
@@ -55,6 +56,15 @@ def test_against_all_pairs(spark):
         assert sorted(map(tuple, near_duplicates(df, width, percent).collect())) == plain(rows, width, percent)
 
 
+def test_branching_and_blocks(spark, monkeypatch):
+    """Leaves of four members and few levels: families pass through every level into the blocks."""
+    for name, value in (("LEAF", 4), ("BLOCK", 6), ("MAX_DEPTH", 5)):
+        monkeypatch.setattr(near_dup, name, value)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df, 3, 85).collect())) == plain(rows, 3, 85)
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, near_duplicates(df, 3, 85).collect()), key=str)

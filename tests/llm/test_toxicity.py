@@ -37,7 +37,7 @@ def test_held_out_accuracy(spark):
     assert len(got) == 4 and not got[0].held_out
     assert toxicity(odd.limit(0), l.limit(0)).count() == 0
     model = fit(odd, l.limit(0))
-    assert model.trees.margin(np.eye(13)[1:2])[0] > model.trees.margin(np.zeros((1, 13)))[0]
+    assert model.trees.margin(np.eye(13)[0:1])[0] > model.trees.margin(np.zeros((1, 13)))[0]
 
 
 def test_trees_and_isotonic():
