@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
+import importlib
 import re
 
+from ..functions.expressions import render
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+_MODULES = ("geometry_queries", "text_queries", "relational_queries", "planning_queries")
+_TABLE = re.compile(r"(\bFROM\s+|\bJOIN\s+)(" + "|".join(TABLES) + r")\b")
+
 
-SQL: dict[str, str] = {
-    "agg_pricing_summary": """
-        SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders
-        FROM lineitem GROUP BY l_returnflag, l_linestatus""",
-}
+def texts() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name in _MODULES:
+        out |= importlib.import_module(f"{__package__}.{name}").SQL
+    return out
 
 
 def _runner(text: str):
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    sql = render(text, "spark")
+    used = sorted({m[2] for m in _TABLE.finditer(sql)})
+    sql = _TABLE.sub(r"\1{\2}", sql.replace("{", "{{").replace("}", "}}"))
 
     def run(spark, sf_dir):
-        return spark.sql(re.sub(r"\b(" + "|".join(used) + r")\b", r"{\1}", text), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+        return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
     return run
 
 
 def queries():
-    return {k: _runner(v) for k, v in SQL.items()}
+    return {k: _runner(v) for k, v in texts().items()}
 
 
 def oracle_sql():
-    return dict(SQL)
+    return {k: render(v, "duckdb") for k, v in texts().items()}
