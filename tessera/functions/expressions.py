@@ -28,7 +28,7 @@ MACROS: dict[str, tuple[str, ...]] = {
     "epoch": ("x", "unix_micros(CAST(x AS TIMESTAMP))", "epoch_us(x)"),
     "series": ("a,b", "explode(sequence(a, b))", "unnest(generate_series(a, b))"),
     "words": ("x", "explode(split(x, ' '))", "unnest(string_split(x, ' '))"),
-    "joined": ("x,o", "array_join(transform(array_sort(collect_list(struct(o AS o, CAST(x AS STRING) AS v))), s -> s.v), ',')", "string_agg(CAST(x AS VARCHAR), ',' ORDER BY o)"),
+    "joined": ("x,o", "array_join(transform(array_sort(collect_list(named_struct('o', o, 'v', CAST(x AS STRING)))), s -> s.v), ',')", "string_agg(CAST(x AS VARCHAR), ',' ORDER BY o)"),
     "joined_set": ("x", "array_join(transform(array_sort(collect_set(x)), s -> CAST(s AS STRING)), ',')", "string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY CAST(x AS VARCHAR))"),
     "number": ("x", "try_cast(x AS DOUBLE)", "TRY_CAST(x AS DOUBLE)"),
     "json_int": ("x,k", "CAST(get_json_object(x, concat('$.', k)) AS BIGINT)", "CAST(json_extract_string(x, concat('$.', k)) AS BIGINT)"),

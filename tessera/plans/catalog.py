@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "agg_pricing_summary"
+FLAGSHIP = "remaining_menu"
 
 
 
