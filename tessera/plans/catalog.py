@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "remaining_menu"
+from . import kernel_queries, sql_queries
 
+FLAGSHIP = "remaining_menu"
 
 
 def queries():
-    from . import sql_queries
-
-    return sql_queries.queries()
+    return sql_queries.queries() | kernel_queries.QUERIES
 
 
 def oracle_sql():
-    from . import sql_queries
-
-    return sql_queries.oracle_sql()
+    return sql_queries.oracle_sql() | kernel_queries.ORACLES
