@@ -7,7 +7,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 
@@ -31,16 +31,16 @@ def natural(value: str | None) -> str:
     return re.sub(r"\d+", lambda m: m[0].lstrip("0").rjust(20, "0"), (value or "").lower())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([similarity(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(raw: pd.Series) -> pd.Series:
     return raw.map(visible)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def natural_key(value: pd.Series) -> pd.Series:
     return value.map(natural)

@@ -44,7 +44,7 @@ SQL = {
     "agg_07_history": "WITH r AS (SELECT l_partkey AS seg_id, l_quantity AS v, l_orderkey AS activity, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_orderkey, l_linenumber) AS BIGINT) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) SELECT seg_id, @q(max(CASE WHEN i = 1 + @floor(n / 2e0) THEN v END),1e2) AS upper_median, @q(min(v),1e2) AS best, count(DISTINCT activity) AS activities FROM r GROUP BY seg_id",
     "agg_08_daily_totals": "SELECT @day(ts) AS day, count(*) AS n, @q(sum(value),1e2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "agg_09_five_numbers": "WITH d AS (SELECT user_id, @day(ts) AS day, sum(value) AS v, count(*) AS n FROM events GROUP BY user_id, @day(ts)) SELECT user_id, @q(min(v),1e2) AS lo, @q(@percentile(v,5e-1),1e1) AS mid, @q(max(v),1e2) AS hi, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi_days FROM d GROUP BY user_id",
-    "agg_10_set_fold": "WITH k AS (SELECT DISTINCT epoch, kind, seg_id FROM @ledger() l) SELECT c.epoch, c.seg_id FROM k c WHERE c.kind = 'completed' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.epoch = c.epoch AND b.seg_id = c.seg_id AND b.kind = 'blocked')",
+    "agg_10_set_fold": "WITH k AS (SELECT DISTINCT epoch, kind, seg_id FROM @ledger() l WHERE user_id % 40 = 0) SELECT c.epoch, c.seg_id FROM k c WHERE c.kind = 'completed' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.epoch = c.epoch AND b.seg_id = c.seg_id AND b.kind = 'blocked')",
     "agg_11_coverage_validation": "WITH n AS (SELECT s.seg_id, count(c.outing_id) AS n FROM @segments() s LEFT JOIN @claims() c ON c.seg_id = s.seg_id GROUP BY s.seg_id) SELECT count(*) AS targets, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM n",
     "agg_12_outing_menu": "SELECT owner_id, min(outing_id) AS first_outing, count(*) AS parts, @isum(minutes) AS minutes, bool_and(route_status = 'graph_validated') AS all_valid, bool_or(minutes > 300) AS any_long FROM @outings() o GROUP BY owner_id",
     "agg_13_weekly_load": "SELECT owner_id % 20 AS who, @floor(@day(day) / 7e0) AS week, @isum(minutes) AS minutes, CAST(sum(CASE WHEN minutes >= 240 THEN 1 ELSE 0 END) AS BIGINT) AS long_days FROM @outings() o GROUP BY 1, 2",
@@ -53,7 +53,7 @@ SQL = {
     "agg_16_edge_accumulation": "SELECT least(l_suppkey, l_partkey % 100 + 1) AS a, greatest(l_suppkey, l_partkey % 100 + 1) AS b, count(*) AS n, @joined_set(l_returnflag) AS reasons FROM lineitem GROUP BY 1, 2",
     "agg_17_union_of_selection": "SELECT o.status, count(DISTINCT c.seg_id) AS covered, count(DISTINCT o.outing_id) AS outings FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id GROUP BY o.status",
     "agg_18_argmax_block": "WITH w AS (SELECT c.outing_id, p.p_brand AS block, sum(p.p_size) AS size FROM @claims() c JOIN part p ON p.p_partkey = c.seg_id GROUP BY c.outing_id, p.p_brand) SELECT outing_id, block FROM (SELECT outing_id, block, row_number() OVER (PARTITION BY outing_id ORDER BY size DESC, block DESC) AS r FROM w) x WHERE r = 1",
-    "agg_19_miles_by_direction": "SELECT c.outing_id, s.direction, @q(sum(s.miles),1e2) AS miles FROM @claims() c JOIN @segments() s ON s.seg_id = c.seg_id GROUP BY c.outing_id, s.direction HAVING sum(s.miles) >= 1e0",
+    "agg_19_miles_by_direction": "SELECT c.outing_id, s.direction, @q(sum(s.miles),1e2) AS miles FROM @claims() c JOIN @segments() s ON s.seg_id = c.seg_id GROUP BY c.outing_id, s.direction HAVING sum(s.miles) >= 95e-2 + 1e-6",
     "agg_20_mile_index": "SELECT seg_id, @q(max(CASE WHEN priority = top THEN miles END),1e2) AS miles FROM (SELECT seg_id, miles, priority, max(priority) OVER (PARTITION BY seg_id) AS top FROM (SELECT seg_id, miles, 1 AS priority FROM @segments() s UNION ALL SELECT l_partkey, max(l_quantity) / 10e0, 2 FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_partkey) x) y GROUP BY seg_id",
     "agg_21_class_counts": "SELECT o_orderpriority AS class, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus",
     "agg_22_repeat_classes": "SELECT kind, count(*) AS n, @q(sum(quantity),1e0) AS miles FROM (SELECT CASE WHEN l_partkey % 10 = 0 THEN 'productive_repeat' WHEN l_partkey % 10 = 1 THEN 'dead_repeat_candidate' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'dead_repeat_candidate' ELSE 'necessary_repeat' END AS kind, l_quantity AS quantity FROM lineitem) x GROUP BY kind",

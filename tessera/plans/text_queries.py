@@ -8,7 +8,7 @@ SQL = {
     "str_07_id_sort_key": "SELECT seg_id, CAST(row_number() OVER (ORDER BY @pad(seg_id,12), seg_id) AS BIGINT) AS place FROM @segments() s",
     "str_08_slugify": "SELECT p_partkey AS seg_id, @slug(p_name) AS slug FROM part",
     "str_10_name_variants": "SELECT DISTINCT seg_id, trim(variant) AS variant FROM (SELECT p_partkey AS seg_id, @words(replace(replace(concat(p_name, '/', p_brand, '-', p_type), '/', ' '), '-', ' ')) AS variant FROM part) x WHERE trim(variant) <> ''",
-    "str_11_unambiguous_lookup": "SELECT p_name AS name, min(p_brand) AS brand FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1",
+    "str_11_unambiguous_lookup": "SELECT concat(p_name, '/', @text(p_size)) AS name, min(p_brand) AS brand FROM part GROUP BY concat(p_name, '/', @text(p_size)) HAVING count(DISTINCT p_brand) = 1",
     "str_12_human_route_name": "WITH k AS (SELECT c.outing_id, p.p_brand, p.p_name, row_number() OVER (PARTITION BY c.outing_id ORDER BY c.seg_id) AS r FROM @claims() c JOIN part p ON p.p_partkey = c.seg_id) SELECT outing_id, CASE WHEN p_brand = p_name THEN p_brand ELSE concat(p_brand, ': ', p_name) END AS name FROM k WHERE r = 1",
     "str_13_signposts": "SELECT doc_id, length(text) - length(@rxall(text,'[0-9]','')) AS digits, @rxget(text,'([0-9]+)') AS first_number FROM documents WHERE text IS NOT NULL",
     "str_14_token_sequence": "SELECT doc_id, @has(@repeat_space(@rxall(lower(text),'[^a-z0-9]+',' ')),' of the ') AS mentioned FROM documents WHERE text IS NOT NULL",
