@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import OP9, OP10
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -83,4 +85,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": OP9, "op10_near_duplicates": OP10}
