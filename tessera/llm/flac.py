@@ -198,8 +198,8 @@ def encode_streams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes],
     frames = np.maximum(1, -(-size // BLOCK))
     first = np.concatenate([[0], np.cumsum(frames)])
     padded = np.full(int(first[-1]) * BLOCK, 255, np.uint8)
-    row = np.repeat(np.arange(len(size)), size)
-    padded[np.arange(len(data)) - offsets[:-1][row] + BLOCK * first[:-1][row]] = data
+    for at, a, b in zip((BLOCK * first[:-1]).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        padded[at : at + b - a] = data[a:b]
     number = np.arange(first[-1]) - np.repeat(first[:-1], frames)
     matrix, parts, lengths = padded.reshape(-1, BLOCK), [], []
     for lo in range(0, len(matrix), LANES):
