@@ -59,7 +59,8 @@ MACROS: dict[str, tuple[str, ...]] = {
     # minutes and scores
     "round_miles": ("x", "round((x) + 1e-9, 2)"),
     "ceil_minutes": ("x", "@ceil(greatest(0e0, x) - 1e-9)"),
-    "time_bucket": ("x", "CASE WHEN (x) <= 60 THEN 'under_one_hour' WHEN (x) <= 119 THEN 'one_to_two_hours' WHEN (x) <= 180 THEN 'two_to_three_hours' WHEN (x) <= 240 THEN 'three_to_four_hours' ELSE 'four_plus_hours' END"),
+    # Names and limits of the time buckets.
+    "time_bucket": ("x", "CASE WHEN (x) <= 60 THEN 'under_1_hour' WHEN (x) <= 119 THEN 'one_to_two_hours' WHEN (x) <= 180 THEN 'two_to_three_hours' WHEN (x) <= 240 THEN 'three_to_four_hours' ELSE 'four_plus_hours' END"),
     "outing_bucket": ("x", "CASE WHEN coalesce(x, 0) <= 120 THEN '2 hours or less' WHEN (x) <= 180 THEN '2-3 hours' WHEN (x) <= 240 THEN '3-4 hours' ELSE '4+ hours' END"),
     "effort_minutes": ("m,a", "((m) + (a) / 100e0)"),
     "p75_minutes": ("x", "@ceil_minutes((x) * 112e-2)"),
@@ -69,6 +70,8 @@ MACROS: dict[str, tuple[str, ...]] = {
     "pain_score": ("official,foot,p75,p90,carpass,water,parking,unverified,warnings,leg", "(greatest((foot) - (official), 0e0) * 10 + greatest((p75) - 240, 0) / 10e0 + greatest((p90) - 300, 0) / 10e0 + CASE WHEN carpass THEN 0 ELSE 8 END + CASE WHEN water THEN 0 ELSE 4 END + CASE WHEN parking THEN 0 ELSE 12 END + CASE WHEN unverified THEN 18 ELSE 0 END + (warnings) * 2 + greatest((leg) - 3, 0e0) * 2)"),
     "action_priority": ("status,pain,savings,delta", "CASE status WHEN 'access_verification_sprint' THEN 1000 + (savings) * 100 + greatest(-(delta), 0) * 2 + (pain) / 10e0 WHEN 'promote_or_recertify_split' THEN 800 + (savings) * 100 + greatest(-(delta), 0) + (pain) / 10e0 WHEN 'certifiable_anchor_redesign' THEN 700 + (savings) * 80 + greatest(-(delta), 0) + (pain) / 10e0 WHEN 'parked_start_certification' THEN 300 + (pain) WHEN 'human_cost_research' THEN 200 + (pain) ELSE 0e0 END"),
     "parking_risk": ("parking,confidence", "CASE WHEN NOT coalesce(parking, false) THEN 3 WHEN lower(confidence) LIKE '%validated%' OR lower(confidence) LIKE '%strava_reused%' THEN 0 WHEN lower(confidence) LIKE '%strava_seen%' OR lower(confidence) LIKE '%osm_amenity%' THEN 1 ELSE 2 END"),
+    # Ranks of parking confidences; a longer name takes the rank of the one it begins with, others have 40.
+    "confidence_rank": ("x", "CASE WHEN (x) LIKE 'source_validated_trailhead%' THEN 90 WHEN (x) LIKE 'source_verified_roadside_plus_strava_seen%' THEN 88 WHEN (x) LIKE 'source_verified_roadside%' THEN 86 WHEN (x) LIKE 'osm_amenity_parking_fee_no_capacity_36_source_checked%' THEN 84 WHEN (x) LIKE 'osm_amenity_parking_capacity_16_source_checked%' THEN 84 WHEN (x) LIKE 'osm_amenity_parking_source_checked%' THEN 82 WHEN (x) LIKE 'osm_amenity_parking_near_official_start%' THEN 80 WHEN (x) LIKE 'user_review_confirmed_paved_road_parking%' THEN 78 WHEN (x) LIKE 'strava_reused_prior_challenge_window%' THEN 76 WHEN (x) LIKE 'strava_seen_prior_challenge_window%' THEN 72 WHEN (x) LIKE 'inferred_from_trailhead_layer%' THEN 64 WHEN (x) LIKE 'user_configured_trailhead%' THEN 62 WHEN (x) LIKE 'strava_single_prior_challenge_window%' THEN 50 WHEN (x) LIKE 'street_parking_probe_manual_required%' THEN 28 WHEN (x) LIKE 'manual_required%' THEN 20 ELSE 40 END"),
     "candidate_cost": ("official,foot,status,weight", "((weight) + (foot) + CASE WHEN (official) < 2 THEN 8 ELSE 0 END + CASE WHEN (official) < 1 THEN 12 ELSE 0 END + greatest(0e0, CASE WHEN (official) > 0 THEN (foot) / (official) ELSE 99e0 END - 18e-1) * 5 + CASE WHEN (status) = 'graph_validated' THEN 0 ELSE 10000 END)"),
     "objective_cost": ("official,foot,minutes,ascent,day", "((foot) + greatest(0e0, (foot) - (official)) * 15e-1 + (minutes) * 2e-2 + (ascent) / 1e3 * 35e-2 + (day) * 1e-5 + CASE WHEN (official) / (foot) < 35e-2 THEN 2 ELSE 0 END)"),
     "match_confidence": ("d,s", "CASE WHEN (d) <= 2e-2 AND (s) >= 75e-2 THEN 'high' WHEN (d) <= 5e-2 AND (s) >= 45e-2 THEN 'medium' WHEN (d) <= 1e-1 THEN 'low' ELSE 'review' END"),
@@ -84,7 +87,7 @@ MACROS: dict[str, tuple[str, ...]] = {
     "segments": ("", "(SELECT p_partkey AS seg_id, p_name AS trail_name, p_size / 10e0 AS miles, CASE WHEN p_partkey % 11 = 0 THEN 'ascent' ELSE 'both' END AS direction, @lon(p_partkey) AS lon, @lat(p_partkey) AS lat FROM part)"),
     "claims": ("", "(SELECT DISTINCT l_orderkey AS outing_id, l_partkey AS seg_id FROM lineitem)"),
     "outings": ("", "(SELECT o_orderkey AS outing_id, o_custkey AS owner_id, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, 20 + @floor(o_totalprice) % 380 AS minutes, 1 + (o_orderkey * 37 % 190) / 10e0 AS foot_miles, (o_orderkey * 53 % 3000) AS ascent_ft, CASE WHEN o_orderstatus = 'F' THEN 'graph_validated' ELSE 'draft' END AS route_status FROM orders)"),
-    "anchors": ("", "(SELECT s_suppkey AS anchor_id, s_name AS name, @lon(s_suppkey * 31 + 7) AS lon, @lat(s_suppkey * 31 + 7) AS lat, s_acctbal > 2000 AS has_parking, CASE s_suppkey % 5 WHEN 0 THEN 'validated_by_visit' WHEN 1 THEN 'strava_reused_3' WHEN 2 THEN 'strava_seen_once' WHEN 3 THEN 'osm_amenity_parking' ELSE 'unknown' END AS confidence FROM supplier)"),
+    "anchors": ("", "(SELECT s_suppkey AS anchor_id, s_name AS name, @lon(s_suppkey * 31 + 7) AS lon, @lat(s_suppkey * 31 + 7) AS lat, s_acctbal > 2000 AS has_parking, CASE s_suppkey % 5 WHEN 0 THEN 'source_validated_trailhead' WHEN 1 THEN 'strava_reused_prior_challenge_window' WHEN 2 THEN 'strava_seen_prior_challenge_window' WHEN 3 THEN 'osm_amenity_parking_source_checked' ELSE 'unknown' END AS confidence FROM supplier)"),
     "track": ("", "(SELECT user_id AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS idx, ts, @lon(event_id) AS lon, @lat(event_id) AS lat, event_type, value FROM events)"),
     "ledger": ("", "(SELECT @month(ts) AS epoch, @day(ts) AS day_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'completed' WHEN event_type = 'purchase' THEN 'missed' ELSE 'blocked' END AS kind, event_id % 400 AS seg_id, user_id FROM events)"),
 }

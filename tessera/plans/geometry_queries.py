@@ -71,7 +71,7 @@ SQL = {
     "geo_42_pain_score": "SELECT outing_id, @q(@pain_score(foot_miles / 2,foot_miles,minutes,minutes * 112 / 100e0,outing_id % 2 = 0,outing_id % 3 = 0,outing_id % 5 > 0,outing_id % 11 = 0,outing_id % 4,foot_miles / 3),1e2) AS pain FROM @outings() o",
     "geo_43_action_priority": "SELECT outing_id, @q(@action_priority(CASE outing_id % 6 WHEN 0 THEN 'access_verification_sprint' WHEN 1 THEN 'promote_or_recertify_split' WHEN 2 THEN 'certifiable_anchor_redesign' WHEN 3 THEN 'parked_start_certification' WHEN 4 THEN 'human_cost_research' ELSE 'monitor' END,minutes / 2e0,foot_miles,outing_id % 90 - 45),1e2) AS priority FROM @outings() o",
     "geo_44_parking_risk": "SELECT anchor_id, CAST(@parking_risk(has_parking,confidence) AS BIGINT) AS risk FROM @anchors() a",
-    "geo_45_confidence_rank": "SELECT anchor_id, CAST(CASE WHEN confidence LIKE 'validated%' THEN 100 WHEN confidence LIKE 'strava_reused%' THEN 90 WHEN confidence LIKE 'strava_seen%' THEN 70 WHEN confidence LIKE 'osm_amenity%' THEN 60 ELSE 40 END AS BIGINT) AS rank FROM @anchors() a",
+    "geo_45_confidence_rank": "SELECT anchor_id, CAST(@confidence_rank(confidence) AS BIGINT) AS rank FROM @anchors() a",
     "geo_46_objective_cost": "SELECT outing_id, @q(@objective_cost(foot_miles / (1 + outing_id % 4),foot_miles,minutes,ascent_ft,outing_id % 30),1e3) AS cost FROM @outings() o",
     "geo_47_candidate_cost": "SELECT outing_id, @q(@candidate_cost(foot_miles / (1 + outing_id % 4),foot_miles,route_status,15e-1),1e3) AS cost FROM @outings() o",
     "geo_48_normalized_objective": "WITH t AS (SELECT sum(foot_miles) AS miles, sum(minutes) AS minutes FROM @outings() o WHERE status = 'F') SELECT o.outing_id, @q(1e6 * (o.foot_miles / t.miles + o.minutes / CAST(t.minutes AS DOUBLE)) + 5e-2,1e2) AS cost FROM @outings() o CROSS JOIN t",

@@ -78,7 +78,10 @@ SQL = {
     "srt_07_combo_sort": "SELECT outing_id, CAST(row_number() OVER (ORDER BY ascent_ft, minutes, outing_id) AS BIGINT) AS place FROM @outings() o",
     "srt_08_sweep_ranking": "SELECT owner_id, CAST(row_number() OVER (ORDER BY count(*) DESC, sum(minutes) DESC, min(outing_id)) AS BIGINT) AS place FROM @outings() o GROUP BY owner_id",
     "srt_09_richness_order": "SELECT doc_id, (CASE WHEN text IS NULL THEN 0 ELSE 1 END + CASE WHEN lang IS NULL THEN 0 ELSE 1 END + CASE WHEN source IS NULL THEN 0 ELSE 1 END) AS richness FROM documents",
+    # What counts as a material difference (miles, minutes, ascent feet).
+    "srt_10_dominance": "WITH d AS (SELECT a.owner_id, a.outing_id AS current_id, b.outing_id AS candidate_id, a.foot_miles - b.foot_miles AS miles, a.minutes - b.minutes AS minutes, a.ascent_ft - b.ascent_ft AS ascent FROM @outings() a JOIN @outings() b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id) SELECT current_id, candidate_id, (miles > 25e-2 OR minutes > 10 OR ascent > 250) AND NOT (miles < -25e-2 OR minutes < -10 OR ascent < -250) AS dominates FROM d",
     "srt_10_pareto": "SELECT a.anchor_id FROM (SELECT s_suppkey AS anchor_id, s_acctbal AS x, s_suppkey * 7919 % 5000 AS y FROM supplier) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_suppkey AS anchor_id, s_acctbal AS x, s_suppkey * 7919 % 5000 AS y FROM supplier) b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))",
+    "join_06_nearest_brute_force": f"SELECT anchor_id, seg_id FROM (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {_NEAR}, s.seg_id) AS r FROM (SELECT anchor_id, lon, lat FROM @anchors() x WHERE has_parking) a CROSS JOIN @segments() s WHERE @haversine_miles(a.lon,a.lat,s.lon,s.lat) <= 3e0) x WHERE r = 1",
     "srt_11_replacement_deltas": "SELECT o.outing_id, o.minutes - r.minutes AS saved FROM @outings() o LEFT JOIN @outings() r ON r.outing_id = o.outing_id + 1",
     "srt_12_plan_selection": "SELECT owner_id FROM (SELECT owner_id, bool_and(status = 'F') AS ok, count(*) AS n, sum(foot_miles) AS miles FROM @outings() o GROUP BY owner_id) x ORDER BY ok DESC, n DESC, @q(miles,1e1) DESC, owner_id LIMIT 1",
     "set_01_keyed_union": "SELECT name, anchor_id FROM (SELECT name, anchor_id, row_number() OVER (PARTITION BY name ORDER BY priority, anchor_id) AS r FROM (SELECT p_brand AS name, p_partkey AS anchor_id, 1 AS priority FROM part WHERE p_size < 10 UNION ALL SELECT p_brand, p_partkey, 2 FROM part) x) y WHERE r = 1",
@@ -89,7 +92,7 @@ SQL = {
     "set_06_route_delta": "WITH done AS (SELECT DISTINCT l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F') SELECT c.outing_id, count(*) AS remaining, @joined(c.seg_id,c.seg_id) AS ids FROM @claims() c LEFT JOIN done d ON d.seg_id = c.seg_id WHERE d.seg_id IS NULL GROUP BY c.outing_id",
     "set_07_held_segments": "SELECT l_partkey AS seg_id FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'R' UNION SELECT p_partkey FROM part WHERE p_size = 7",
     "set_08_dedupe_richest": "SELECT owner_id, outing_id FROM (SELECT owner_id, outing_id, row_number() OVER (PARTITION BY owner_id ORDER BY CASE WHEN route_status = 'graph_validated' THEN 0 ELSE 1 END, minutes, outing_id) AS r FROM @outings() o) x WHERE r = 1",
-    "set_09_merge_anchors": "SELECT x, y, anchor_id FROM (SELECT @floor(lon * 10) AS x, @floor(lat * 10) AS y, anchor_id, row_number() OVER (PARTITION BY @floor(lon * 10), @floor(lat * 10) ORDER BY CASE WHEN confidence LIKE 'validated%' THEN 0 WHEN confidence LIKE 'strava%' THEN 1 ELSE 2 END, anchor_id) AS r FROM @anchors() a) z WHERE r = 1",
+    "set_09_merge_anchors": "SELECT x, y, anchor_id FROM (SELECT @floor(lon * 10) AS x, @floor(lat * 10) AS y, anchor_id, row_number() OVER (PARTITION BY @floor(lon * 10), @floor(lat * 10) ORDER BY @confidence_rank(confidence) DESC, anchor_id) AS r FROM @anchors() a) z WHERE r = 1",
     "set_10_collection_merge": "SELECT seg_id, count(*) AS n FROM (SELECT seg_id FROM @segments() s UNION ALL SELECT seg_id FROM @claims() c) x GROUP BY seg_id",
     "set_11_keyed_replace": "SELECT outing_id, minutes FROM @outings() o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.outing_id AND l.l_linenumber = 7) UNION ALL SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) FROM lineitem WHERE l_linenumber = 7 GROUP BY l_orderkey",
     "set_12_progress_overlay": "SELECT seg_id FROM (SELECT seg_id FROM @segments() s WHERE seg_id % 5 = 0 UNION SELECT seg_id FROM @ledger() l WHERE kind = 'completed') x WHERE seg_id NOT IN (SELECT seg_id FROM @ledger() l WHERE kind = 'missed' AND user_id % 9 = 0)",

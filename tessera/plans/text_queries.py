@@ -1,9 +1,10 @@
 """Text, id, date and hash operators (STR), row filters (FLT) and table scans with derived columns (SRC)."""
 
+# The stop words in str_03.
 SQL = {
     "str_01_clean_trail_name": "SELECT p_partkey AS seg_id, @clean_trail_name(concat(p_name, ' ', @text(p_partkey % 7))) AS name FROM part",
     "str_02_normalize_name": "SELECT p_partkey AS seg_id, @normal_name(concat('Tom''s `', p_name, '` #', @text(p_size), ' & 12 ', p_brand)) AS name FROM part",
-    "str_03_name_tokens": "SELECT token, count(DISTINCT seg_id) AS n FROM (SELECT p_partkey AS seg_id, @words(@normal_name(concat(p_name, ' trail to the ', p_type))) AS token FROM part) x WHERE token NOT IN ('trail', 'trails', 'the', 'to', '') GROUP BY token",
+    "str_03_name_tokens": "SELECT token, count(DISTINCT seg_id) AS n FROM (SELECT p_partkey AS seg_id, @words(@normal_name(concat(p_name, ' trail to the ', p_type))) AS token FROM part) x WHERE token NOT IN ('trail', 'trails', 'the', 'to', 'of', 'from', 'and', 'up', 'down', 'climb', 'lap', 'loop', 'cw', 'ccw', 'counter', 'clockwise', 'sign', '') GROUP BY token",
     "str_05_token_overlap": "WITH a AS (SELECT DISTINCT seg_id, token FROM (SELECT p_partkey AS seg_id, @words(@normal_name(p_type)) AS token FROM part) x), b AS (SELECT DISTINCT name, token FROM (SELECT DISTINCT p_type AS name, 1 AS one FROM part) n CROSS JOIN (SELECT 0 AS zero) z JOIN a ON a.seg_id % 5 = 0 AND n.name >= token), s AS (SELECT seg_id, count(*) AS n FROM a GROUP BY seg_id) SELECT s.seg_id, s.n AS tokens, CAST(count(b.token) AS BIGINT) AS shared FROM s JOIN a ON a.seg_id = s.seg_id LEFT JOIN (SELECT DISTINCT token FROM b) b ON b.token = a.token GROUP BY s.seg_id, s.n",
     "str_07_id_sort_key": "SELECT seg_id, CAST(row_number() OVER (ORDER BY @pad(seg_id,12), seg_id) AS BIGINT) AS place FROM @segments() s",
     "str_08_slugify": "SELECT p_partkey AS seg_id, @slug(p_name) AS slug FROM part",
