@@ -22,8 +22,8 @@ Q = 8
 #: Bytes of contexts that are sorted at once, and contexts of one anchor up to which they are; more are matched by hash.
 SORT_BYTES = 1 << 20
 GROUP_CONTEXTS = 1000
-#: Rows broadcast at most in the joins to the texts; shuffled joins beyond.
-BROADCAST_ROWS = 400_000
+#: Rows (of lists: elements, about 150 bytes each in memory) broadcast at most in the joins to the texts; shuffled joins beyond.
+BROADCAST_ROWS, BROADCAST_ELEMENTS = 400_000, 800_000
 #: Strings of oversized groups that one task matches, about.
 BUCKET_STRINGS = 2_000_000
 
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     solid = kept.where("twice").select("anchor", "context", F.lit(0).alias("first"), F.col("more").alias("last"))
     mixed = kept.where("n > 1").select("a.key", F.struct("anchor", "context", (F.col("a.place") - F.col("before")).alias("start"), "more").alias("w"), "n")
     wanted = written(mixed.groupBy("key").agg(F.collect_list("w").alias("wanted")), "repeat-wanted")
-    texts = one.join(shared_if_small(wanted, BROADCAST_ROWS), "key")
+    texts = one.join(shared_if_small(wanted, BROADCAST_ELEMENTS, "wanted"), "key")
     raw = texts.select(F.col("text").cast("binary"), "wanted").mapInArrow(_context_bytes(length), "anchor long, context long, more int, bytes binary")
     raw = written(raw, "repeat-bytes")
     large = written(kept.groupBy("anchor").agg(F.max("n").alias("n")).where(F.col("n") > GROUP_CONTEXTS), "repeat-large")
@@ -322,7 +322,7 @@ def with_spans(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` (keyed) with ``spans``: the byte ranges to remove, not merged; null or empty for none. One row for each row."""
     spans, copied = repeated_spans(docs, length)
     whole = copied.select("key", F.lit(True).alias("whole"))
-    out = docs.join(shared_if_small(spans, BROADCAST_ROWS), "key", "left").join(shared_if_small(whole, BROADCAST_ROWS), "key", "left")
+    out = docs.join(shared_if_small(spans, BROADCAST_ELEMENTS, "spans"), "key", "left").join(shared_if_small(whole, BROADCAST_ROWS), "key", "left")
     every = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end")))
     return out.withColumn("spans", F.when(F.col("whole"), every).otherwise(F.col("spans"))).drop("whole")
 

@@ -69,8 +69,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def shared_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a written table) marked for broadcast where it has at most ``rows`` rows, else as it is."""
+def shared_if_small(df: DataFrame, rows: int, lists: str | None = None) -> DataFrame:
+    """``df`` (a written table) marked for broadcast where it has at most ``rows`` rows, else as it is.
+
+    With ``lists``, an array column, its elements are counted, not the rows.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.count() <= rows else df
+    n = (df.agg(F.sum(F.size(lists))).first()[0] or 0) if lists else df.count()
+    return F.broadcast(df) if n <= rows else df

@@ -60,6 +60,9 @@ def test_kernel_against_brute_force():
 def test_against_brute_force(spark, monkeypatch, cap):
     monkeypatch.setattr(repeats, "GROUP_CONTEXTS", cap)
     monkeypatch.setattr(repeats, "SORT_BYTES", 5000)
+    if cap == 3:  # the shuffled joins, too
+        monkeypatch.setattr(repeats, "BROADCAST_ELEMENTS", 1)
+        monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
     rows = corpus(cap)
     df = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, key string, spans string").repartition(3)
     for length in (400, 120):
