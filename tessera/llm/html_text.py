@@ -30,9 +30,12 @@ BOILERPLATE = re.compile(
     r"login|popup|modal|overlay|comments?|commentlist|respond|reply|replies|disqus|discussion|related|recommended|recommendations|share|sharing|social|pagination|pager|widget\w*|toolbar|skip|search|hidden|copyright|disclaimer|legal)(?=$|[\s_-])",
     re.I,
 )
+#: Words of layout that also name whole columns ("has-sidebar"): what holds an article or a main element stays in spite of them.
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|sidebar\w*|side|header|banner|footer\w*|widget\w*|search|share|sharing|social|overlay|modal|hidden|related|notices?)(?=$|[\s_-])", re.I)
+COMMENT_ARTICLES = frozenset("comment comment-body comment-content comment-item reply".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class Tree:
@@ -40,26 +43,48 @@ class Tree:
 
     def __init__(self):
         self.tag, self.parent, self.dropped, self.runs = ["#root"], [-1], [False], []
+        self.kind = [KEPT]
 
+    def settle(self) -> None:
+        """Decide the soft cases and take out the text of dropped elements."""
+        holds = [t in ("article", "main") and k != HARD for t, k in zip(self.tag, self.kind, strict=True)]
+        for i in range(len(holds) - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i] and self.kind[i] != HARD
+        for i in range(1, len(holds)):
+            self.dropped[i] = self.dropped[self.parent[i]] or self.kind[i] == HARD or self.kind[i] == SOFT and not holds[i]
+        self.runs = [(i, text) for i, text in self.runs if text is None or not self.dropped[i]]
 
-def _is_dropped(tag: str, attributes: str, in_content: bool) -> bool:
+
+KEPT, SOFT, HARD = range(3)
+
+
+def _dropping(tag: str, attributes: str, in_content: bool) -> int:
+    """HARD: boilerplate with all in it; SOFT: boilerplate unless it holds an article or main element."""
     if tag in DROPPED or tag == "header" and not in_content:
-        return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return HARD
+    if not attributes or tag in ("body", "html"):
+        return KEPT
+    out = KEPT
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and BOILERPLATE.search(value):
-            return True
-    return False
+            return HARD
+        if tag in ("article", "main"):
+            if name == "class" and not COMMENT_ARTICLES.isdisjoint(value.lower().split()):
+                return HARD
+        elif name == "role" and value.lower() in ROLES:
+            return HARD
+        elif name in ("class", "id") and BOILERPLATE.search(value):
+            if not LAYOUT.search(value) or BOILERPLATE.search(LAYOUT.sub(" ", value)):
+                return HARD
+            out = SOFT
+    return out
 
 
 def parse(text: str) -> Tree:
     """Forgiving parser: unknown end tags are ignored, paragraphs, list items and table parts close as HTML implies."""
     tree, stack, content, at = Tree(), [0], 0, 0
-    tags, parents, dropped, runs = tree.tag, tree.parent, tree.dropped, tree.runs
+    tags, parents, hard, runs = tree.tag, tree.parent, tree.dropped, tree.runs
     match = _TOKEN.search
 
     def pop_to(depth: int) -> None:
@@ -71,7 +96,7 @@ def parse(text: str) -> Tree:
                 runs.append((i, None))
 
     while m := match(text, at):
-        if m.start() > at and not dropped[stack[-1]]:
+        if m.start() > at and not hard[stack[-1]]:
             runs.append((stack[-1], text[at : m.start()]))
         at = m.end()
         name = m[2] or m[5]
@@ -113,7 +138,9 @@ def parse(text: str) -> Tree:
         i = len(tags)
         tags.append(name)
         parents.append(above)
-        dropped.append(dropped[above] or _is_dropped(name, attributes, content > 0))
+        kind = _dropping(name, attributes, content > 0)
+        tree.kind.append(kind)
+        hard.append(hard[above] or kind == HARD)
         if name in BLOCKS:
             runs.append((i, None))
         if name == "br":
@@ -126,9 +153,10 @@ def parse(text: str) -> Tree:
             continue
         stack.append(i)
         content += name in ("article", "main")
-    if at < len(text) and not dropped[stack[-1]]:
+    if at < len(text) and not hard[stack[-1]]:
         runs.append((stack[-1], text[at:]))
-    pop_to(0 if False else 1)
+    pop_to(1)
+    tree.settle()
     return tree
 
 

@@ -29,6 +29,11 @@ def test_article_without_semantic_elements():
     assert text == "\n".join(["Title", para.strip(), para.strip(), "x", "y"])
 
 
+def test_layout_words_on_columns():
+    page = "<body><div class='page has-sidebar'><article><h1>T</h1><p>Text of it.</p></article><div class='sidebar'>more links</div></div><ol class=commentlist><li><article class='comment'><p>Hello!</p></article></ol></body>"
+    assert main_text(page) == "T\nText of it."
+
+
 def test_density_prefers_text_over_links():
     tree = parse("<body><div><a>link one</a><a>link two</a></div><div><p>plain words here and there</p></div></body>")
     density, _ = densities(tree)
