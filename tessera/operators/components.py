@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .checkpoints import checkpointed
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u > v). Each node's neighbours are attached to the smallest of them; minima are combined before the shuffle."""
@@ -22,10 +24,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of ``edges`` (u, v). Each step is checkpointed to the shared folder."""
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    now = checkpointed(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
-        now = _star(_star(now, True), False).checkpoint()
+        now = checkpointed(_star(_star(now, True), False))
         fresh = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if fresh == state:
             break

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.checkpoints import checkpointed
+
 SCHEMA = "epoch string, day_id string, version long, segment_id long, kind string"
 
 
@@ -45,8 +47,8 @@ def start_ledger(events: DataFrame, ledger_path: str, checkpoint: str):
                 raise
             old = spark.createDataFrame([], SCHEMA)
         touched = batch.select("epoch", "day_id").distinct()
-        rows = latest_reviews(old.join(touched, ["epoch", "day_id"], "left_semi").unionByName(batch)).checkpoint()
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "day_id").parquet(ledger_path))
+        rows = checkpointed(latest_reviews(old.join(touched, ["epoch", "day_id"], "left_semi").unionByName(batch)))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "day_id").parquet(ledger_path)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -76,6 +76,5 @@ def test_text_and_expressions(spark):
     assert spark.range(1).select(expr("turn_phrase", "-80e0")).first()[0] == "turn left"
     assert "@" not in render("@normal_name(x)")
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (9, 9)], "u long, v long")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     assert sorted(map(tuple, connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (9, 9)]
     assert ledger.islands(df.select(F.lit(1).alias("k"), F.to_date(F.lit("2026-06-01")).alias("d")), "k", "d").first().days == 1
