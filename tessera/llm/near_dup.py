@@ -21,10 +21,12 @@ from .storage import bounded_batches, shared_if_small, written
 COORDINATES = 64
 TREES = 14
 START_DEPTH, MAX_DEPTH = 3, 8
-#: Members of a leaf that are compared exhaustively; blocks beyond MAX_DEPTH have as many.
-LEAF = 64
-#: Sketch agreement below which a pair is not checked: more than four standard errors under the threshold.
-MARGIN = 0.2
+#: Members of a leaf that are compared exhaustively, and of a block of a leaf that reaches MAX_DEPTH.
+LEAF, BLOCK = 64, 512
+#: Shingles of a member that a group compares; a longer set is compared by its smallest ones first, then checked whole.
+KEPT_ITEMS = 4096
+#: Sketch agreement below which a pair is not checked: about four standard errors under the threshold.
+MARGIN = 0.18
 #: Class ids broadcast at most to pick the texts whose sets are needed (8 bytes each); joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -97,7 +99,7 @@ def _branches(keys: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[n
     """(child keys, index of the parent row): node ``keys[i]`` picks one coordinate, and a second one with probability 1/threshold - 1."""
     out, rows = [], []
     for k in range(2):
-        r = mix(keys + np.uint64(0xA24BAED4963EE407) * np.uint64(k + 1))
+        r = mix(keys + np.uint64(0xA24BAED4963EE407 * (k + 1) % (1 << 64)))
         pick = np.arange(len(keys)) if not k else np.flatnonzero((r >> np.uint64(32)) % np.uint64(10_000) < np.uint64(10_000 * (1 / threshold - 1)))
         c = (r[pick] % np.uint64(COORDINATES)).astype(np.int64)
         out.append(mix(keys[pick] * np.uint64(0x9FB21C651E98DF25) + (c.astype(np.uint64) << np.uint64(32)) + sketch[pick, c] + np.uint64(1)))
@@ -184,14 +186,18 @@ class _Join:
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb")
         return written(joined.mapInArrow(_likely(self.threshold - MARGIN, self.threshold), "a long, b long"), "near-likely")
 
+    def items(self, ids: DataFrame, most: int | None = None) -> DataFrame:
+        """id, items: the sorted shingle hashes of the classes ``ids``, at most the ``most`` smallest ones."""
+        ids = written(ids.distinct(), "near-ids")
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared_if_small(ids, BROADCAST_IDS), "id", "left_semi")
+        sets = texts.mapInArrow(_setter(self.width), "id long, items binary").join(self.sketches.select("id", "n"), "id")
+        # Rows that share an id may differ in text: the class's own set is one of its size.
+        sets = sets.where(F.octet_length("items") == 8 * F.col("n")).select("id", F.substring("items", 1, 8 * most).alias("items") if most else "items")
+        return written(sets.dropDuplicates(["id"]), "near-sets")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
-        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared_if_small(ids, BROADCAST_IDS), "id", "left_semi")
-        sets = written(texts.mapInArrow(_setter(self.width), "id long, items binary"), "near-sets")
-        sizes = self.sketches.select("id", "n")
-        # A repeated doc_id may have several texts; the class's own set is the one with the class's size, then the smallest.
-        sets = sets.join(sizes, "id").where(F.octet_length("items") == 8 * F.col("n")).select("id", "items")
+        sets = self.items(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
         a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
         joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ia", "ib")
         return written(joined.mapInArrow(_verifier(self.percent), "a long, b long"), "near-links")
@@ -207,18 +213,104 @@ def _across(nodes: DataFrame, known: DataFrame | None) -> DataFrame:
     return placed.join(shape.select("node", "pivot", "size"), "node")
 
 
-def _pairs_within(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs across components in groups of at most twice LEAF members (bounded by what the caller groups)."""
-    lists = rows.groupBy(*by).agg(F.collect_list(F.struct("id", "component")).alias("m"))
-    pairs = lists.select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.id > x.id and y.component != x.component), y -> struct(x.id as a, y.id as b))))")).alias("p"))
-    return pairs.select("p.a", "p.b").distinct()
+def _with_partners(floor: float, threshold: float):
+    """(group, members (id, component, n, sketch)) to (group, id, component, n) of the members with a likely partner in another component."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            m = lists.flatten()
+            if not len(m):
+                continue
+            group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            component, n = m.field(1).to_numpy(), m.field(2).to_numpy()
+            sketch, found = _matrix(m.field(3)), np.zeros(len(m), bool)
+            for lag in range(1, int(np.bincount(group).max())):
+                i = np.flatnonzero(group[lag:] == group[:-lag])
+                j = i + lag
+                keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = i[keep], j[keep]
+                keep = (sketch[i] == sketch[j]).mean(1) >= floor
+                found[i[keep]] = found[j[keep]] = True
+            at = pa.array(np.flatnonzero(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(group[found])), *(m.field(k).take(at) for k in range(3))], ["group", "id", "component", "n"])
+
+    return run
+
+
+def _common(items: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0-1 matrices over the shingles that occur twice, in slices."""
+    member = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    value = np.concatenate(items)
+    order = np.argsort(value, kind="stable")
+    value, member = value[order], member[order]
+    first = np.concatenate([[True], value[1:] != value[:-1]])
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1
+    column, member = np.unique(column[shared], return_inverse=True)[1], member[shared]
+    out = np.zeros((len(items), len(items)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(items), 4096), np.float32)
+        part[member[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _linker(percent: int):
+    """Members (id, component, n, items) of a group to (a, b, sure): a forest of exact links that joins all that the group's
+    links join; where a set is only known by its smallest items, every pair that may link, not sure."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for members in batch.column(0):
+                m = members.values
+                ids, component, n = (m.field(k).to_numpy() for k in range(3))
+                items = [np.frombuffer(x.as_buffer(), "<u8") for x in m.field(3)]
+                common = _common(items)
+                whole = np.array([len(x) for x in items]) == n
+                union = n[:, None] + n[None, :] - common
+                other = component[:, None] != component[None, :]
+                link = (100 * common >= percent * union) & other & whole[:, None] & whole[None, :]
+                seen = np.zeros(len(ids), bool)
+                for root in range(len(ids)):
+                    frontier = [] if seen[root] else [root]
+                    seen[root] = True
+                    while len(frontier):
+                        step = link[frontier]
+                        new = np.flatnonzero((step.any(0) | ~other[frontier].all(0)) & ~seen)
+                        for x in new.tolist():
+                            by = int(step[:, x].argmax())
+                            if step[by, x]:
+                                out.append((ids[frontier[by]], ids[x], True))
+                        seen[new] = True
+                        frontier = new.tolist()
+                for i in np.flatnonzero(~whole).tolist():
+                    for j in np.flatnonzero(other[i] & (whole | (np.arange(len(ids)) > i))).tolist():
+                        low = np.unique(np.concatenate([items[i], items[j]]))[: min(len(items[i]), len(items[j]))]
+                        both = np.isin(low, items[i]) & np.isin(low, items[j])
+                        if both.mean() >= percent / 100 - 4 / np.sqrt(len(low)) / 2:
+                            out.append((ids[i], ids[j], False))
+            yield pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b, _ in out], pa.int64()), pa.array([max(a, b) for a, b, _ in out], pa.int64()), pa.array([s for _, _, s in out], pa.bool_())], ["a", "b", "sure"])
+
+    return run
+
+
+def _links_within(rows: DataFrame, run: _Join) -> DataFrame:
+    """a, b, sure of the links across components in groups of at most twice BLOCK members (bounded by what the caller groups)."""
+    members = rows.join(run.sketches, "id").select("group", F.struct("id", "component", "n", "sketch").alias("m"))
+    lists = members.groupBy("group").agg(F.collect_list("m").alias("m")).select("group", "m")
+    likely = written(lists.mapInArrow(_with_partners(run.threshold - MARGIN, run.threshold), "group string, id long, component long, n long"), "near-partners")
+    lists = likely.join(run.items(likely.select("id"), KEPT_ITEMS), "id").groupBy("group").agg(F.collect_list(F.struct("id", "component", "n", "items")).alias("m")).select("m")
+    return lists.mapInArrow(_linker(run.percent), "a long, b long, sure boolean")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Members of large nodes, sent to each pair of blocks they belong to: the exact way for nodes that no branching splits."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = dealt.select("node", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return sent.select("node", "id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return sent.select(F.concat_ws("/", "node", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "id", "component")
 
 
 def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -235,21 +327,25 @@ def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tupl
     for depth in range(START_DEPTH, MAX_DEPTH + 1):
         open_nodes = written(_across(todo, found), "near-open")
         small = open_nodes.where(F.col("size") <= LEAF)
-        candidates.append(_pairs_within(small, ["node"]))
+        if depth == START_DEPTH:  # the pivot has been compared with every member: what is left are the pairs of the others
+            small = small.where("size > 2 and id != pivot")
+        candidates.append(_links_within(small.select(F.col("node").cast("string").alias("group"), "id", "component"), run))
         large = open_nodes.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
         if depth == MAX_DEPTH:
-            candidates.append(_pairs_within(_blocks(large), ["node", "i", "j"]))
+            candidates.append(_links_within(_blocks(large), run))
             break
         grown = large.select("id", "node").join(run.sketches, "id").select("id", "sketch", "node")
         todo = written(grown.mapInArrow(_grower(1, run.threshold, False), "node long, id long").distinct(), "near-nodes")
     rest = candidates[0]
     for c in candidates[1:]:
         rest = rest.union(c)
-    rest = written(rest.distinct().join(stars, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = written(links.union(run.verified(run.likely(rest))), "near-links")
+    rest = written(rest.distinct(), "near-rest")
+    links = links.union(rest.where("sure").select("a", "b"))
+    unsure = rest.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")
+    if not unsure.isEmpty():
+        links = links.union(run.verified(unsure))
     return run.signed, run.classes, links
 
 
