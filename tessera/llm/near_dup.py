@@ -19,10 +19,10 @@ from .kernels import lower_ascii, mix, prefix_hash, range_hash, text_chunks, wor
 from .storage import bounded_batches, shared_if_small, written
 
 COORDINATES = 64
-TREES = 14
-START_DEPTH, MAX_DEPTH = 3, 8
+TREES = 10
+START_DEPTH, MAX_DEPTH = 3, 6
 #: Members of a leaf that are compared exhaustively, and of a block of a leaf that reaches MAX_DEPTH.
-LEAF, BLOCK = 64, 512
+LEAF, BLOCK = 256, 512
 #: Shingles of a member that a group compares; a longer set is compared by its smallest ones first, then checked whole.
 KEPT_ITEMS = 4096
 #: Sketch agreement below which a pair is not checked: about four standard errors under the threshold.

@@ -1,7 +1,9 @@
 import random
 import re
 
-from tessera.llm import near_dup
+import pytest
+
+from tessera.llm import components as components_module, near_dup
 from tessera.llm.components import components
 from tessera.llm.near_dup import near_duplicates
 
@@ -58,7 +60,7 @@ def test_against_all_pairs(spark):
 
 def test_branching_and_blocks(spark, monkeypatch):
     """Leaves of four members and few levels: families pass through every level into the blocks."""
-    for name, value in (("LEAF", 4), ("BLOCK", 6), ("MAX_DEPTH", 5)):
+    for name, value in (("LEAF", 4), ("BLOCK", 6), ("MAX_DEPTH", 5), ("KEPT_ITEMS", 60)):
         monkeypatch.setattr(near_dup, name, value)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -72,7 +74,9 @@ def test_odd_tables(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [0, 400_000])
+def test_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(components_module, "TASK_EDGES", bound)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(5, 39), (300, 301), (301, 302), (302, 300), (9, 9)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in [5, *range(7, 40)]}, **{i: 300 for i in range(300, 303)}}
