@@ -10,17 +10,17 @@ SQL = {
     "grf_26_elevation_cost": "SELECT seg_id, @q(miles + (seg_id % 900) * 3 / 5280e0,1e4) AS cost FROM @segments() s",
     "grf_30_access_orientation": "SELECT outing_id, forward FROM (SELECT o.outing_id, f.forward, row_number() OVER (PARTITION BY o.outing_id ORDER BY (o.outing_id * 3 + f.forward * 7) % 5 DESC, (o.outing_id + f.forward * 11) % 17, f.forward DESC) AS r FROM @outings() o CROSS JOIN (SELECT 0 AS forward UNION ALL SELECT 1) f) x WHERE r = 1",
     "grf_32_return_strategy": "SELECT strategy, count(*) AS n FROM (SELECT CASE WHEN outing_id % 10 = 0 THEN 'closed_loop' WHEN foot_miles <= greatest(minutes / 60e0 * 15e-1, 25e-1) THEN 'mapped_return' WHEN outing_id % 3 = 0 THEN 'out_and_back' ELSE 'estimated_connector' END AS strategy FROM @outings() o) x GROUP BY strategy",
-    "opt_19_field_day_combos": "WITH l AS (SELECT anchor_id, lon, lat, 40 + anchor_id % 50 AS minutes FROM @anchors() a WHERE anchor_id <= 60) SELECT i.anchor_id AS a, j.anchor_id AS b, k.anchor_id AS c, i.minutes + j.minutes + k.minutes AS minutes FROM l i JOIN l j ON i.anchor_id < j.anchor_id AND abs(i.lat - j.lat) < 1e-1 JOIN l k ON j.anchor_id < k.anchor_id AND abs(j.lat - k.lat) < 1e-1 WHERE i.minutes + j.minutes + k.minutes <= 200",
+    "opt_19_field_day_combos": "WITH l AS (SELECT anchor_id, lon, lat, 40 + anchor_id % 50 AS minutes FROM @anchors() a) SELECT i.anchor_id AS a, j.anchor_id AS b, k.anchor_id AS c, i.minutes + j.minutes + k.minutes AS minutes FROM l i JOIN l j ON i.anchor_id < j.anchor_id AND abs(i.lat - j.lat) < 1e-1 JOIN l k ON j.anchor_id < k.anchor_id AND abs(j.lat - k.lat) < 1e-1 WHERE i.minutes + j.minutes + k.minutes <= 200",
     "opt_21_best_permutation": "WITH l AS (SELECT anchor_id, lon, lat, @floor((anchor_id - 1) / 3e0) AS trio FROM @anchors() a), p AS (SELECT x.trio, x.anchor_id AS a, y.anchor_id AS b, z.anchor_id AS c, @haversine_miles(x.lon,x.lat,y.lon,y.lat) + @haversine_miles(y.lon,y.lat,z.lon,z.lat) AS d FROM l x JOIN l y ON x.trio = y.trio AND x.anchor_id <> y.anchor_id JOIN l z ON z.trio = x.trio AND z.anchor_id <> x.anchor_id AND z.anchor_id <> y.anchor_id) SELECT trio, a, b, c FROM (SELECT trio, a, b, c, row_number() OVER (PARTITION BY trio ORDER BY @q(d,1e6), a, b) AS r FROM p) w WHERE r = 1",
     "opt_22_same_anchor_combos": "SELECT a.outing_id AS a, b.outing_id AS b, a.minutes + b.minutes AS minutes FROM @outings() a JOIN @outings() b ON a.owner_id = b.owner_id AND a.outing_id < b.outing_id WHERE a.minutes + b.minutes <= 390",
     "opt_23_component_combos": "SELECT owner_id, a, b FROM (SELECT a.owner_id, a.outing_id AS a, b.outing_id AS b, row_number() OVER (PARTITION BY a.owner_id ORDER BY @q(a.foot_miles + b.foot_miles,1e2), a.outing_id, b.outing_id) AS r FROM @outings() a JOIN @outings() b ON a.owner_id = b.owner_id AND a.outing_id < b.outing_id) x WHERE r = 1",
-    "opt_24_covering_combos": "WITH c AS (SELECT DISTINCT outing_id, seg_id % 4 AS t FROM @claims() c WHERE outing_id % 25 = 0), m AS (SELECT outing_id, CAST(sum(CASE t WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END) AS BIGINT) AS mask FROM c GROUP BY outing_id) SELECT a.outing_id AS a, b.outing_id AS b FROM m a JOIN m b ON a.outing_id < b.outing_id AND (a.mask | b.mask) = 15",
+    "opt_24_covering_combos": "WITH c AS (SELECT DISTINCT outing_id, seg_id % 4 AS t FROM @claims() c), m AS (SELECT outing_id, CAST(sum(CASE t WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END) AS BIGINT) AS mask FROM c GROUP BY outing_id) SELECT a.outing_id AS a, b.outing_id AS b FROM m a JOIN m b ON a.outing_id < b.outing_id AND (a.mask | b.mask) = 15",
     "opt_25_two_way_partitions": "WITH o AS (SELECT outing_id, count(*) AS n FROM @claims() c GROUP BY outing_id HAVING count(*) BETWEEN 2 AND 5), m AS (SELECT outing_id, n, @series(CAST(1 AS BIGINT), CAST(pow(2, n) AS BIGINT) - 2) AS mask FROM o) SELECT outing_id, mask FROM m WHERE @popcount(mask) <= 3 AND mask % 2 = 1",
     "opt_26_owner_choice": "SELECT seg_id, outing_id FROM (SELECT c.seg_id, c.outing_id, row_number() OVER (PARTITION BY c.seg_id ORDER BY o.day, @q(o.foot_miles,1e2), o.outing_id) AS r FROM @claims() c JOIN @outings() o ON o.outing_id = c.outing_id WHERE o.status <> 'P') x WHERE r = 1",
-    "opt_33_removal_simulation": "WITH s AS (SELECT subject, seg_id FROM (SELECT outing_id AS subject, seg_id FROM @claims() c WHERE outing_id % 100 = 0) x), n AS (SELECT outing_id, count(*) AS n FROM @claims() c GROUP BY outing_id), h AS (SELECT s.subject, c.outing_id, count(*) AS covered FROM s JOIN @claims() c ON c.seg_id = s.seg_id AND c.outing_id <> s.subject GROUP BY s.subject, c.outing_id) SELECT h.subject, h.outing_id, CASE WHEN h.covered = n.n THEN 'removed' ELSE 'shrunk' END AS effect FROM h JOIN n ON n.outing_id = h.outing_id",
+    "opt_33_removal_simulation": "WITH s AS (SELECT outing_id AS subject, seg_id FROM @claims() c), n AS (SELECT outing_id, count(*) AS n FROM @claims() c GROUP BY outing_id), h AS (SELECT s.subject, c.outing_id, count(*) AS covered FROM s JOIN @claims() c ON c.seg_id = s.seg_id AND c.outing_id <> s.subject GROUP BY s.subject, c.outing_id) SELECT h.subject, h.outing_id, CASE WHEN h.covered = n.n THEN 'removed' ELSE 'shrunk' END AS effect FROM h JOIN n ON n.outing_id = h.outing_id",
     "opt_37_reorder_scenarios": "WITH o AS (SELECT outing_id, owner_id, @day(day) AS d, minutes FROM @outings() o) SELECT a.outing_id AS source, b.outing_id AS owner, CASE WHEN a.d = b.d THEN 'delete_owner_same_day' WHEN a.d > b.d THEN 'swap_source_ahead' ELSE 'in_order' END AS scenario, a.minutes + b.minutes <= 600 AS fits FROM o a JOIN o b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id",
     "stm_01_ledger_upsert": "SELECT epoch, day_id, event_id, kind FROM (SELECT epoch, day_id, event_id, kind, row_number() OVER (PARTITION BY epoch, day_id, user_id ORDER BY event_id DESC) AS r FROM @ledger() l) x WHERE r = 1",
-    "stm_02_fold_to_state": "SELECT seg_id, CASE WHEN bool_or(kind = 'blocked') THEN 'blocked' WHEN bool_or(kind = 'completed') THEN 'completed' ELSE 'missed' END AS state FROM @ledger() l WHERE user_id % 10 = 0 GROUP BY seg_id",
+    "stm_02_fold_to_state": "SELECT seg_id, CASE WHEN bool_or(kind = 'blocked') THEN 'blocked' WHEN bool_or(kind = 'completed') THEN 'completed' ELSE 'missed' END AS state FROM @ledger() l GROUP BY seg_id",
     "stm_03_baseline_lock": "SELECT epoch, day_id FROM (SELECT epoch, day_id, row_number() OVER (PARTITION BY epoch ORDER BY day_id, event_id) AS r FROM @ledger() l) x WHERE r = 1",
     "stm_04_epoch_reset": "SELECT kind, count(*) AS n FROM @ledger() l WHERE NOT (epoch = '2024-01' AND day_id % 2 = 0) OR kind = 'blocked' GROUP BY kind",
     "stm_06_recertification_trigger": "SELECT epoch, bool_or(kind IN ('completed', 'missed', 'blocked')) AS needed FROM @ledger() l GROUP BY epoch",

@@ -22,12 +22,12 @@ SQL = {
     "join_19_endpoint_adjacency": "WITH s AS (SELECT seg_id, lon, lat, direction, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @segments() s), p AS (SELECT seg_id, lon, lat, cx + dx AS cx, cy + dy AS cy FROM s CROSS JOIN (SELECT -1 AS dx UNION ALL SELECT 0 UNION ALL SELECT 1) i CROSS JOIN (SELECT -1 AS dy UNION ALL SELECT 0 UNION ALL SELECT 1) j) SELECT p.seg_id, s.seg_id AS other_id, @q(@haversine_miles(p.lon,p.lat,s.lon,s.lat),1e4) AS d FROM p JOIN s ON s.cx = p.cx AND s.cy = p.cy AND s.seg_id > p.seg_id WHERE @haversine_miles(p.lon,p.lat,s.lon,s.lat) <= 1e0",
     "join_20_road_band": "WITH s AS (SELECT seg_id, lon, lat, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @segments() s), p AS (SELECT seg_id, lon, lat, cx + dx AS cx, cy + dy AS cy FROM s CROSS JOIN (SELECT -1 AS dx UNION ALL SELECT 0 UNION ALL SELECT 1) i CROSS JOIN (SELECT -1 AS dy UNION ALL SELECT 0 UNION ALL SELECT 1) j) SELECT p.seg_id, count(*) AS roads FROM p JOIN s ON s.cx = p.cx AND s.cy = p.cy AND s.seg_id <> p.seg_id WHERE @haversine_miles(p.lon,p.lat,s.lon,s.lat) > 5e-1 AND @haversine_miles(p.lon,p.lat,s.lon,s.lat) <= 15e-1 GROUP BY p.seg_id",
     "join_21_coverers": "SELECT seg_id, @joined(outing_id,outing_id) AS outings, count(*) AS n FROM @claims() c GROUP BY seg_id",
-    "join_22_latent_relationships": "WITH x AS (SELECT a.outing_id AS source, b.outing_id AS owner, a.seg_id FROM @claims() a JOIN @claims() b ON a.seg_id = b.seg_id AND a.outing_id < b.outing_id WHERE a.seg_id % 4 = 0) SELECT source, owner, @joined(seg_id,seg_id) AS segments FROM x GROUP BY source, owner",
+    "join_22_latent_relationships": "WITH x AS (SELECT a.outing_id AS source, b.outing_id AS owner, a.seg_id FROM @claims() a JOIN @claims() b ON a.seg_id = b.seg_id AND a.outing_id < b.outing_id) SELECT source, owner, @joined(seg_id,seg_id) AS segments FROM x GROUP BY source, owner",
     "join_23_order_comparison": "WITH o AS (SELECT outing_id, owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY day, outing_id) AS pos FROM @outings() o) SELECT a.outing_id, b.outing_id AS other_id, CASE WHEN b.pos < a.pos THEN 'owner_before' ELSE 'owner_after' END AS relation FROM o a JOIN o b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id",
     "join_24_co_coverage": "SELECT a.outing_id AS a, b.outing_id AS b, count(*) AS shared, @q(sum(s.miles),1e2) AS miles FROM @claims() a JOIN @claims() b ON a.seg_id = b.seg_id AND a.outing_id < b.outing_id JOIN @segments() s ON s.seg_id = a.seg_id GROUP BY a.outing_id, b.outing_id HAVING count(*) > 1",
     "join_25_proximity_self_join": "SELECT a.anchor_id AS a, b.anchor_id AS b, @q(1 - @haversine_miles(a.lon,a.lat,b.lon,b.lat) / 8,1e4) AS weight FROM @anchors() a JOIN @anchors() b ON a.anchor_id < b.anchor_id AND @haversine_miles(a.lon,a.lat,b.lon,b.lat) <= 8e0",
     "join_26_neighbour_top_k": "SELECT a, b, CAST(r AS BIGINT) AS place FROM (SELECT a.anchor_id AS a, b.anchor_id AS b, row_number() OVER (PARTITION BY a.anchor_id ORDER BY @q(@haversine_miles(a.lon,a.lat,b.lon,b.lat),1e6), b.anchor_id) AS r FROM @anchors() a JOIN @anchors() b ON a.anchor_id <> b.anchor_id) x WHERE r <= 5",
-    "join_27_tail_opportunities": "WITH own AS (SELECT outing_id, seg_id FROM @claims() c WHERE outing_id % 10 = 0), short AS (SELECT seg_id, lon, lat FROM @segments() s WHERE miles <= 1e0) SELECT DISTINCT o.outing_id, t.seg_id FROM own o JOIN @segments() s ON s.seg_id = o.seg_id JOIN short t ON abs(t.lon - s.lon) < 2e-2 AND abs(t.lat - s.lat) < 2e-2 WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.outing_id = o.outing_id AND x.seg_id = t.seg_id)",
+    "join_27_tail_opportunities": "WITH own AS (SELECT outing_id, seg_id FROM @claims() c), short AS (SELECT seg_id, lon, lat FROM @segments() s WHERE miles <= 1e0) SELECT DISTINCT o.outing_id, t.seg_id FROM own o JOIN @segments() s ON s.seg_id = o.seg_id JOIN short t ON abs(t.lon - s.lon) < 2e-2 AND abs(t.lat - s.lat) < 2e-2 WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.outing_id = o.outing_id AND x.seg_id = t.seg_id)",
     "join_28_waiver_match": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN d.source <> 'src1' AND d.doc_id % 4 = 0 THEN 'route_label_mismatch' WHEN d.doc_id % 5 = 0 THEN 'segment_ids_mismatch' WHEN l.quality = 0 THEN 'missing_reason' WHEN l.toxic = 1 THEN 'expired' ELSE 'valid' END AS reason FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY reason",
     "join_29_track_index_match": "WITH t AS (SELECT DISTINCT track_id, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @track() t), s AS (SELECT seg_id, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @segments() s) SELECT t.track_id, count(*) AS n FROM t JOIN s ON s.cx = t.cx AND s.cy = t.cy GROUP BY t.track_id",
     "join_30_rule_target": f"SELECT anchor_id, seg_id FROM (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {_NEAR}, s.seg_id) AS r FROM @anchors() a JOIN @segments() s ON abs(a.lat - s.lat) < 5e-2 WHERE s.direction = 'ascent' OR s.seg_id % 3 = 0) x WHERE r = 1",
@@ -44,7 +44,7 @@ SQL = {
     "agg_07_history": "WITH r AS (SELECT l_partkey AS seg_id, l_quantity AS v, l_orderkey AS activity, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity, l_orderkey, l_linenumber) AS BIGINT) AS i, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) SELECT seg_id, @q(max(CASE WHEN i = 1 + @floor(n / 2e0) THEN v END),1e2) AS upper_median, @q(min(v),1e2) AS best, count(DISTINCT activity) AS activities FROM r GROUP BY seg_id",
     "agg_08_daily_totals": "SELECT @day(ts) AS day, count(*) AS n, @q(sum(value),1e2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "agg_09_five_numbers": "WITH d AS (SELECT user_id, @day(ts) AS day, sum(value) AS v, count(*) AS n FROM events GROUP BY user_id, @day(ts)) SELECT user_id, @q(min(v),1e2) AS lo, @q(@percentile(v,5e-1),1e1) AS mid, @q(max(v),1e2) AS hi, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi_days FROM d GROUP BY user_id",
-    "agg_10_set_fold": "WITH k AS (SELECT DISTINCT epoch, kind, seg_id FROM @ledger() l WHERE user_id % 40 = 0) SELECT c.epoch, c.seg_id FROM k c WHERE c.kind = 'completed' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.epoch = c.epoch AND b.seg_id = c.seg_id AND b.kind = 'blocked')",
+    "agg_10_set_fold": "WITH k AS (SELECT DISTINCT epoch, kind, seg_id FROM @ledger() l) SELECT c.epoch, c.seg_id FROM k c WHERE c.kind = 'completed' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.epoch = c.epoch AND b.seg_id = c.seg_id AND b.kind = 'blocked')",
     "agg_11_coverage_validation": "WITH n AS (SELECT s.seg_id, count(c.outing_id) AS n FROM @segments() s LEFT JOIN @claims() c ON c.seg_id = s.seg_id GROUP BY s.seg_id) SELECT count(*) AS targets, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM n",
     "agg_12_outing_menu": "SELECT owner_id, min(outing_id) AS first_outing, count(*) AS parts, @isum(minutes) AS minutes, bool_and(route_status = 'graph_validated') AS all_valid, bool_or(minutes > 300) AS any_long FROM @outings() o GROUP BY owner_id",
     "agg_13_weekly_load": "SELECT owner_id % 20 AS who, @floor(@day(day) / 7e0) AS week, @isum(minutes) AS minutes, CAST(sum(CASE WHEN minutes >= 240 THEN 1 ELSE 0 END) AS BIGINT) AS long_days FROM @outings() o GROUP BY 1, 2",
