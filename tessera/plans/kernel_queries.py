@@ -54,6 +54,10 @@ def _both(pdf):
     return K.adjacency([*edges, *((v, u, w) for u, v, w in edges)])
 
 
+def _nodes(pdf):
+    return sorted(set(pdf.u) | set(pdf.v))
+
+
 def _candidates(pdf):
     return {int(k): (set(g.seg_id.tolist()), float(g.minutes.iloc[0])) for k, g in pdf.groupby("outing_id")}
 
@@ -81,7 +85,7 @@ def _index(pdf):
 @kernel("grf_08_node_matrix", _GRAPH, "track_id", "source long, target long, miles double", "u,v")
 def _matrix(pdf):
     graph = K.adjacency(_edges(pdf))
-    for s in sorted(set(pdf.u))[:8]:
+    for s in _nodes(pdf):
         yield from ((s, t, d) for t, (d, _) in sorted(K.shortest_paths(graph, s).items()))
 
 
@@ -169,7 +173,7 @@ def _order(pdf):
 
 @kernel("grf_29_legal_cost_order", _GRAPH, "track_id", "place long, node long", "u,v")
 def _legal(pdf):
-    graph, left, at = _both(pdf), sorted(set(pdf.u))[:10], int(pdf.u.min())
+    graph, left, at = _both(pdf), _nodes(pdf), int(pdf.u.min())
     for place in range(len(left)):
         paths = K.shortest_paths(graph, at, targets=set(left))
         at = min(left, key=lambda n: (paths.get(n, (1e9,))[0], n))
@@ -187,7 +191,7 @@ def _access(pdf):
 
 @kernel("grf_33_inter_segment_links", _GRAPH, "track_id", "link long, miles double", "u,v")
 def _links(pdf):
-    nodes, earned = sorted(set(pdf.u))[:8], set()
+    nodes, earned = _nodes(pdf), set()
     for k, (a, b) in enumerate(zip(nodes[:-1], nodes[1:], strict=True)):
         paths = K.shortest_paths(K.adjacency(_edges(pdf)), a, avoid=set(range(3)) - earned, targets={b})
         earned.add(k % 3)
@@ -199,7 +203,7 @@ QUERIES["grf_34_between_trail_links"] = QUERIES["grf_33_inter_segment_links"]
 
 @kernel("grf_35_gap_stitching", _GRAPH, "track_id", "gap long, nodes long", "u,v")
 def _stitch(pdf):
-    graph, nodes = _both(pdf), sorted(set(pdf.u))[:6]
+    graph, nodes = _both(pdf), _nodes(pdf)
     for k, (a, b) in enumerate(zip(nodes[:-1], nodes[1:], strict=True)):
         yield k, max(0, len(K.path_to(K.shortest_paths(graph, a, targets={b}), b)) - 2)
 
@@ -309,7 +313,7 @@ def _vehicles(pdf):
 
 @kernel("opt_28_cost_matrix", _GRAPH, "track_id", "source long, target long, cost long", "u,v")
 def _costs(pdf):
-    graph, nodes = K.adjacency(_edges(pdf)), sorted(set(pdf.u) | set(pdf.v))[:10]
+    graph, nodes = K.adjacency(_edges(pdf)), _nodes(pdf)
     for a in nodes:
         paths = K.shortest_paths(graph, a)
         yield from ((a, b, int(paths[b][0] * 1000) if b in paths else 1_000_000) for b in nodes)
