@@ -383,12 +383,14 @@ def exact_partition(candidates: dict, target: set, max_states: int = 200_000) ->
     """Least-cost ids whose sets are disjoint and make up ``target``; None if there are none or the state bound ends the search."""
     best: list = [math.inf, None]
     holders = {x: sorted((k for k, (s, _) in candidates.items() if x in s and s <= target), key=lambda k: (candidates[k][1], str(k))) for x in target}
+    # What an element costs at least: the least cost for each element of the sets that hold it.
+    share = {x: min((candidates[k][1] / len(candidates[k][0]) for k in holders[x]), default=math.inf) for x in target}
     states = 0
 
     def branch(left: frozenset, cost: float, chosen: list) -> None:
         nonlocal states
         states += 1
-        if states > max_states or cost >= best[0]:
+        if states > max_states or cost + sum(share[x] for x in left) >= best[0]:
             return
         if not left:
             best[:] = [cost, chosen]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.expressions import render
 from ..operators import kernels as K
+from ..operators.checkpoints import checkpointed
 from ..operators.components import connected_components
 from ..operators.grouped import apply_to_groups
 
@@ -33,7 +36,7 @@ def kernel(name: str, sql: str, key: str, schema: str, order: str):
 
 _TRACK = "SELECT track_id, idx, lon, lat, event_type, value FROM @track() t"
 _GRAPH = "SELECT track_id, u, v, min(w) AS w, min(label) AS label FROM (SELECT track_id, CAST(@floor(lon * 20) * 100000 + @floor(lat * 20) AS BIGINT) AS u, CAST(@floor(lon2 * 20) * 100000 + @floor(lat2 * 20) AS BIGINT) AS v, @haversine_miles(lon,lat,lon2,lat2) AS w, idx % 7 AS label FROM (SELECT track_id, idx, lon, lat, lead(lon) OVER (PARTITION BY track_id ORDER BY idx) AS lon2, lead(lat) OVER (PARTITION BY track_id ORDER BY idx) AS lat2 FROM @track() t) l WHERE lon2 IS NOT NULL) e WHERE u <> v GROUP BY track_id, u, v"
-_COVER = "SELECT o.owner_id, o.outing_id, c.seg_id % 12 AS seg_id, min(o.minutes) AS minutes, min(o.foot_miles) AS miles FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id GROUP BY o.owner_id, o.outing_id, c.seg_id % 12"
+_COVER = "SELECT o.owner_id, o.outing_id, c.seg_id, o.minutes, o.foot_miles AS miles FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id"
 _OUTINGS = "SELECT owner_id, outing_id, minutes, foot_miles, @day(day) AS day FROM @outings() o"
 
 
@@ -229,14 +232,42 @@ ORACLES["grf_13_components_avoiding"] = _COMPONENTS.replace("FROM lineitem)", "F
 ORACLES["grf_14_component_sizes"] = f"SELECT component, count(*) AS n FROM ({_COMPONENTS}) c GROUP BY component"
 
 
-@kernel("grf_10_snapped_endpoints", "SELECT owner_id % 30 AS part, outing_id, @lon(outing_id) AS lon, @lat(outing_id) AS lat FROM @outings() o", "part", "outing_id long, node long", "outing_id")
-def _snap(pdf):
-    rows = list(zip(pdf.outing_id, pdf.lon, pdf.lat, strict=True))
-    near = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if abs(a[1] - b[1]) < 0.03 and K.haversine_miles(a[1:], b[1:]) <= 1.0]
-    top = K.graph_components([*near, *((r[0], r[0]) for r in rows)])
-    yield from ((int(r[0]), int(top[r[0]])) for r in rows)
+#: A cell of 0.01 degrees measures under a mile across its diagonal, so its points are linked to its smallest one; points
+#: of two cells are linked if one pair is close. A mile spans at most 2 cells of latitude and, up to latitude 60, 3 of longitude.
+_SNAP = "SELECT outing_id, lon, lat, @floor(lon * 100) AS cx, @floor(lat * 100) AS cy, min(outing_id) OVER (PARTITION BY @floor(lon * 100), @floor(lat * 100)) AS node FROM (SELECT outing_id, @lon(outing_id) AS lon, @lat(outing_id) AS lat FROM @outings() o) p"
+_AHEAD = [(dx, dy) for dx in range(-3, 4) for dy in range(3) if dy or dx > 0]
 
 
+_MILE = math.sin(0.5 / 3958.7613) ** 2
+
+
+def _haversine(lon, lat, cosines):
+    return np.sin(lat / 2) ** 2 + cosines * np.sin(lon / 2) ** 2
+
+
+def _close(pdf):
+    first, points = (pdf.node == pdf.node.min()).to_numpy(), np.radians(pdf[["lon", "lat"]].to_numpy())
+    a, b, least = points[first], points[~first], np.cos(np.abs(points[:, 1]).max()) ** 2
+    # Points over a mile from the other cell's box have no partner there.
+    for _ in range(2):
+        if len(b):
+            gap = np.maximum(0, np.maximum(b.min(0) - a, a - b.max(0)))
+            a, b = b, a[_haversine(gap[:, 0], gap[:, 1], least) <= _MILE * (1 + 1e-9)]
+    if len(b) and any((_haversine(b[:, 0] - x, b[:, 1] - y, np.cos(b[:, 1]) * math.cos(y)) <= _MILE).any() for x, y in a):
+        yield int(pdf.node.min()), int(pdf.node.max())
+
+
+def _snap(spark, sf_dir):
+    points = checkpointed(_rows(spark, sf_dir, _SNAP))
+    cells = points.select("cx", "cy", "node").distinct()
+    ahead = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _AHEAD)))
+    there = cells.select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("node").alias("other"))
+    pairs = cells.withColumn("d", ahead).join(there, (F.col("x") == F.col("cx") + F.col("d.dx")) & (F.col("y") == F.col("cy") + F.col("d.dy"))).select(F.concat_ws(",", "node", "other").alias("pair"), F.explode(F.array("node", "other")).alias("node"))
+    links = checkpointed(apply_to_groups(pairs.join(points, "node").select("pair", "node", "outing_id", "lon", "lat"), "pair", "u long, v long", _close, ["outing_id"]).select("u", "v"))
+    return connected_components(links.union(points.select(F.col("outing_id").alias("u"), F.col("node").alias("v")))).select(F.col("node").alias("outing_id"), F.col("component").alias("node"))
+
+
+QUERIES["grf_10_snapped_endpoints"] = _snap
 QUERIES["grf_11_union_find"] = QUERIES["grf_10_snapped_endpoints"]
 
 
@@ -342,10 +373,10 @@ def _clusters(pdf):
 QUERIES["opt_32_dense_areas"] = QUERIES["opt_31_endpoint_clusters"]
 
 
-@kernel("opt_34_repricing", "SELECT o.owner_id, o.outing_id, @day(o.day) AS day, c.seg_id % 12 AS seg_id FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id", "owner_id", "outing_id long, status string, remaining long", "day,outing_id,seg_id")
+@kernel("opt_34_repricing", "SELECT o.owner_id, o.outing_id, @day(o.day) AS day, c.seg_id FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id", "owner_id", "outing_id long, status string, remaining long", "day,outing_id,seg_id")
 def _reprice(pdf):
     groups = [(int(k), set(g.seg_id.tolist())) for k, g in pdf.groupby("outing_id", sort=False)]
-    for (k, _), (status, left) in zip(groups, K.reprice_in_order([(s, {x for y in s for x in (y, (y + 1) % 12)}) for _, s in groups]), strict=True):
+    for (k, _), (status, left) in zip(groups, K.reprice_in_order([(s, {x for y in s for x in (y, y + 1)}) for _, s in groups]), strict=True):
         yield k, status, left
 
 
