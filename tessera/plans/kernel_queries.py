@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text
 from ..functions.expressions import render
@@ -449,6 +449,15 @@ def _best_match(spark, sf_dir):
     return scored.groupBy("anchor_id").agg(F.min_by("seg_id", F.struct("score", "seg_id")).alias("seg_id"))
 
 
+def _menu_sort(spark, sf_dir):
+    """Places over ranges of the sort keys: a place is its row in the range after the rows of the ranges before."""
+    keys = [F.expr(render("@time_bucket(minutes)")), F.desc("route_status"), F.desc("foot_miles"), F.col("minutes"), F.col("outing_id")]
+    rows = checkpointed(_rows(spark, sf_dir, "SELECT outing_id, minutes, route_status, foot_miles FROM @outings() o").repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    before = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*keys))).join(F.broadcast(before), "part").select("outing_id", (F.col("start") + F.col("r")).alias("place"))
+
+
+QUERIES["srt_01_menu_sort"] = _menu_sort
 QUERIES["str_04_name_similarity"] = _similar
 QUERIES["join_09_best_match"] = _best_match
 QUERIES["str_06_natural_key"] = lambda spark, sf_dir: _rows(spark, sf_dir, "SELECT p_partkey, p_name FROM part").select("p_partkey", text.natural_key(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).alias("key"))

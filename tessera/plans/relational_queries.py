@@ -69,7 +69,7 @@ SQL = {
     "win_08_gap_islands": "WITH d AS (SELECT DISTINCT owner_id % 30 AS who, @day(day) AS d FROM @outings() o), i AS (SELECT who, d, d - row_number() OVER (PARTITION BY who ORDER BY d) AS island FROM d) SELECT who, min(d) AS first_day, count(*) AS days FROM i GROUP BY who, island HAVING count(*) > 1",
     "win_11_progressive_bundles": "WITH r AS (SELECT owner_id, outing_id, sum(minutes) OVER (PARTITION BY owner_id ORDER BY foot_miles, outing_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM @outings() o), b AS (SELECT owner_id, outing_id, total, row_number() OVER (PARTITION BY owner_id, @time_bucket(total) ORDER BY total) AS first_in FROM r WHERE total <= 390) SELECT owner_id, outing_id, CAST(total AS BIGINT) AS total FROM b WHERE first_in = 1",
     "win_17_schedule_position": "SELECT owner_id, min(place) AS place FROM (SELECT owner_id, CAST(row_number() OVER (ORDER BY day, outing_id) AS BIGINT) AS place FROM @outings() o WHERE status = 'F') x GROUP BY owner_id",
-    "srt_01_menu_sort": "SELECT outing_id, place FROM (SELECT outing_id, CAST(row_number() OVER (ORDER BY @time_bucket(minutes), route_status DESC, foot_miles DESC, minutes, outing_id) AS BIGINT) AS place FROM @outings() o) x WHERE place <= 100",
+    "srt_01_menu_sort": "SELECT outing_id, place FROM (SELECT outing_id, CAST(row_number() OVER (ORDER BY @time_bucket(minutes), route_status DESC, foot_miles DESC, minutes, outing_id) AS BIGINT) AS place FROM @outings() o) x",
     "srt_02_today_options": "WITH n AS (SELECT c.outing_id, count(*) AS new_count FROM @claims() c WHERE c.seg_id % 3 > 0 GROUP BY c.outing_id) SELECT limit_minutes, outing_id, CAST(r AS BIGINT) AS place FROM (SELECT f.limit_minutes, o.outing_id, row_number() OVER (PARTITION BY f.limit_minutes ORDER BY n.new_count DESC, o.minutes, o.outing_id) AS r FROM @outings() o JOIN n ON n.outing_id = o.outing_id CROSS JOIN (SELECT 60 AS limit_minutes UNION ALL SELECT 120 UNION ALL SELECT 240) f WHERE o.minutes <= f.limit_minutes) x WHERE r <= 10",
     "srt_03_best_today": "SELECT outing_id, minutes FROM @outings() o WHERE route_status = 'graph_validated' AND minutes <= 180 ORDER BY foot_miles DESC, minutes, outing_id LIMIT 1",
     "srt_04_top_before_combos": "SELECT outing_id FROM @outings() o ORDER BY CASE WHEN status = 'F' THEN 0 ELSE 1 END, foot_miles DESC, minutes, outing_id LIMIT 12",

@@ -19,7 +19,7 @@ SQL = {
     "str_18_connector_class": "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'official_repeat' WHEN o_orderpriority LIKE '1%' THEN 'explicit' WHEN o_orderpriority LIKE '2%' THEN 'r2r_trail' WHEN o_orderpriority LIKE '3%' AND o_orderstatus = 'O' THEN 'osm_path_footway' WHEN o_orderpriority LIKE '3%' AND o_orderstatus = 'F' THEN 'osm_public_road' ELSE 'unknown_connector' END AS kind FROM orders) x GROUP BY kind",
     "str_19_canonical_hash": "SELECT p_partkey AS seg_id, @sha256(concat('{\"brand\":\"', p_brand, '\",\"name\":\"', p_name, '\",\"size\":', @text(p_size), '}')) AS h FROM part",
     "str_20_geometry_hash": "SELECT seg_id, @sha256(concat('[', @text(@node5(lon)), ',', @text(@node5(lat)), ']')) AS h FROM @segments() s",
-    "str_22_date_range": "SELECT owner_id, d FROM (SELECT owner_id, @series(lo, least(hi, lo + 6)) AS d FROM (SELECT owner_id, min(@day(day)) AS lo, max(@day(day)) AS hi FROM @outings() o GROUP BY owner_id) x) y",
+    "str_22_date_range": "SELECT owner_id, d FROM (SELECT owner_id, @series(lo, hi) AS d FROM (SELECT owner_id, min(@day(day)) AS lo, max(@day(day)) AS hi FROM @outings() o GROUP BY owner_id) x) y",
     "str_23_weekday_counts": "SELECT @month(day) AS month, CAST(sum(CASE WHEN @weekday(day) >= 5 THEN 1 ELSE 0 END) AS BIGINT) AS weekend, CAST(sum(CASE WHEN @weekday(day) < 5 THEN 1 ELSE 0 END) AS BIGINT) AS weekday FROM @outings() o GROUP BY 1",
     "str_24_month_day_window": "SELECT outing_id FROM @outings() o WHERE @monthday(day) BETWEEN '06-18' AND '07-18'",
     "str_25_named_window": "WITH w AS (SELECT 1 AS ord, 'spring' AS name, '03-01' AS a, '05-31' AS b UNION ALL SELECT 2, 'challenge', '05-15', '07-18' UNION ALL SELECT 3, 'autumn', '09-01', '11-30') SELECT outing_id, name FROM (SELECT o.outing_id, w.name, row_number() OVER (PARTITION BY o.outing_id ORDER BY w.ord) AS r FROM @outings() o JOIN w ON @monthday(o.day) BETWEEN w.a AND w.b) x WHERE r = 1",
