@@ -429,12 +429,13 @@ def assign_days(minutes, budgets, rest_after: float = math.inf) -> list[int]:
     return out
 
 
-def online_clusters(points, radius: float) -> list[int]:
-    """Cluster of each point in order: the nearest centroid within ``radius``, which moves to the new mean, or a new one."""
+def online_clusters(points, radius: float, first: bool = False) -> list[int]:
+    """Cluster of each point in order: the nearest (or ``first``) centroid within ``radius``, which moves to the new mean, or a new one."""
     centres: list[list[float]] = []
     out = []
     for lon, lat in points:
-        near = min(((haversine_miles((c[0], c[1]), (lon, lat)), k) for k, c in enumerate(centres)), default=(math.inf, -1))
+        away = ((haversine_miles((c[0], c[1]), (lon, lat)), k) for k, c in enumerate(centres))
+        near = next((d for d in away if d[0] <= radius), (math.inf, -1)) if first else min(away, default=(math.inf, -1))
         if near[0] <= radius:
             c = centres[near[1]]
             c[2] += 1

@@ -201,9 +201,6 @@ def _links(pdf):
         yield k, paths[b][0] if b in paths else None
 
 
-QUERIES["grf_34_between_trail_links"] = QUERIES["grf_33_inter_segment_links"]
-
-
 @kernel("grf_35_gap_stitching", _GRAPH, "track_id", "gap long, nodes long", "u,v")
 def _stitch(pdf):
     graph, nodes = _both(pdf), _nodes(pdf)
@@ -268,7 +265,9 @@ def _snap(spark, sf_dir):
 
 
 QUERIES["grf_10_snapped_endpoints"] = _snap
-QUERIES["grf_11_union_find"] = QUERIES["grf_10_snapped_endpoints"]
+@kernel("grf_11_union_find", _GRAPH, "track_id", "node long, component long", "u,v")
+def _union_find(pdf):
+    yield from sorted(K.graph_components(_edges(pdf)).items())
 
 
 def _cover(name, choose):
@@ -281,8 +280,17 @@ def _cover(name, choose):
 
 
 _exact = lambda c, t: K.exact_cover_min_cost(c, t)
-for _name in ("opt_01_set_cover", "opt_02_package_cover", "opt_03_global_cover", "opt_07_cover_with_cost", "opt_10_exact_cover_candidates", "opt_11_exact_cover_audit", "opt_15_branch_and_bound"):
+for _name in ("opt_01_set_cover", "opt_15_branch_and_bound"):
     _cover(_name, _exact)
+
+
+def _package(c, t, max_states=200_000):
+    """The cheapest cover, or all outings where the state bound ends the search."""
+    chosen, exact = K.exact_cover_min_cost(c, t, max_states)
+    return (chosen, True) if exact else (sorted(c), False)
+
+
+_cover("opt_02_package_cover", _package)
 _cover("opt_04_objective_cover", lambda c, t: K.exact_cover_min_cost({k: (s, 1.0 + 0.001 * w) for k, (s, w) in c.items()}, t))
 _cover("opt_12_fewest_days", lambda c, t: K.exact_cover_min_cost({k: (s, 1.0) for k, (s, _) in c.items()}, t))
 _cover("opt_13_greedy_max_coverage", lambda c, t: (K.greedy_cover(c, t, by_ratio=False)[0], False))
@@ -311,19 +319,12 @@ def _partition(pdf):
     yield from ((k,) for k in K.exact_partition(candidates | singles, target, 20_000) or ())
 
 
-QUERIES["opt_09_repaired_partition"] = QUERIES["opt_08_exact_partition"]
-
-
 @kernel("opt_17_greedy_calendar", _OUTINGS, "owner_id", "outing_id long, day long", "minutes,outing_id")
 def _calendar(pdf):
     days = K.assign_days(pdf.minutes.tolist(), [300, 300, 300, 480, 480] * 3, rest_after=400)
     yield from zip(pdf.outing_id.tolist(), days, strict=True)
 
 
-for _name in ("opt_16_calendar_assignment", "opt_18_first_fit_dates", "opt_38_calendar_build"):
-    QUERIES[_name] = QUERIES["opt_17_greedy_calendar"]
-
-
 @kernel("opt_20_connected_combinations", "SELECT @floor(anchor_id / 10e0) AS part, anchor_id, lon, lat FROM @anchors() a", "part", "combination string", "anchor_id")
 def _connected(pdf):
     rows = list(zip(pdf.anchor_id.tolist(), pdf.lon, pdf.lat, strict=True))
@@ -370,7 +371,9 @@ def _clusters(pdf):
     yield from zip(pdf.idx.tolist(), K.online_clusters(list(zip(pdf.lon, pdf.lat, strict=True)), 5.0), strict=True)
 
 
-QUERIES["opt_32_dense_areas"] = QUERIES["opt_31_endpoint_clusters"]
+@kernel("opt_32_dense_areas", _TRACK, "track_id", "idx long, cluster long", "idx")
+def _dense(pdf):
+    yield from zip(pdf.idx.tolist(), K.online_clusters(list(zip(pdf.lon, pdf.lat, strict=True)), 180 / 1609.344, first=True), strict=True)
 
 
 @kernel("opt_34_repricing", "SELECT o.owner_id, o.outing_id, @day(o.day) AS day, c.seg_id FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id", "owner_id", "outing_id long, status string, remaining long", "day,outing_id,seg_id")
