@@ -447,7 +447,7 @@ def _similar(spark, sf_dir):
 
 
 def _best_match(spark, sf_dir):
-    pairs = _rows(spark, sf_dir, "SELECT a.anchor_id, s.seg_id, @haversine_miles(a.lon,a.lat,s.lon,s.lat) AS d, lower(a.name) AS x, lower(s.trail_name) AS y FROM @anchors() a JOIN @segments() s ON abs(a.lon - s.lon) < 3e-2 AND abs(a.lat - s.lat) < 3e-2")
+    pairs = _rows(spark, sf_dir, "SELECT a.anchor_id, s.seg_id, @haversine_miles(a.lon,a.lat,s.lon,s.lat) AS d, lower(a.name) AS x, lower(s.trail_name) AS y FROM @anchors() a JOIN @segments() s ON abs(a.lon - s.lon) * cos(radians(greatest(abs(a.lat), abs(s.lat)))) < 3e-2 AND abs(a.lat - s.lat) < 3e-2")
     scored = pairs.where("d <= 2").withColumn("score", F.col("d") + F.greatest(F.lit(0.0), 0.08 - 0.08 * text.name_similarity("x", "y")))
     return scored.groupBy("anchor_id").agg(F.min_by("seg_id", F.struct("score", "seg_id")).alias("seg_id"))
 
