@@ -46,7 +46,22 @@ class Tree:
         self.kind = [KEPT]
 
     def settle(self) -> None:
-        """Decide the soft cases and take out the text of dropped elements."""
+        """Decide what a class or id word alone does not, and take out the text of dropped elements."""
+        n = len(self.tag)
+        linked, plain, inside = [False] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+            inside[i] = int(self.tag[i] in ("article", "main") and not self.dropped[i])
+        for i, text in self.runs:
+            if text and not linked[i]:
+                plain[i] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+            inside[self.parent[i]] += inside[i]
+        for i in range(1, n):
+            if self.kind[i] in (SOFT, WORD):  # most of the page's text, and each article or main element, is no boilerplate
+                most = 2 * plain[i] > plain[0] and inside[i] == inside[0]
+                self.kind[i] = KEPT if most else HARD if self.kind[i] == WORD else SOFT
         holds = [t in ("article", "main") and k != HARD for t, k in zip(self.tag, self.kind, strict=True)]
         for i in range(len(holds) - 1, 0, -1):
             holds[self.parent[i]] |= holds[i] and self.kind[i] != HARD
@@ -55,11 +70,11 @@ class Tree:
         self.runs = [(i, text) for i, text in self.runs if text is None or not self.dropped[i]]
 
 
-KEPT, SOFT, HARD = range(3)
+KEPT, SOFT, WORD, HARD = range(4)
 
 
 def _dropping(tag: str, attributes: str, in_content: bool) -> int:
-    """HARD: boilerplate with all in it; SOFT: boilerplate unless it holds an article or main element."""
+    """HARD: boilerplate with all in it; WORD: boilerplate unless it holds most of the page; SOFT: or an article or main element."""
     if tag in DROPPED or tag == "header" and not in_content:
         return HARD
     if not attributes or tag in ("body", "html"):
@@ -75,9 +90,7 @@ def _dropping(tag: str, attributes: str, in_content: bool) -> int:
         elif name == "role" and value.lower() in ROLES:
             return HARD
         elif name in ("class", "id") and BOILERPLATE.search(value):
-            if not LAYOUT.search(value) or BOILERPLATE.search(LAYOUT.sub(" ", value)):
-                return HARD
-            out = SOFT
+            out = max(out, WORD if not LAYOUT.search(value) or BOILERPLATE.search(LAYOUT.sub(" ", value)) else SOFT)
     return out
 
 
