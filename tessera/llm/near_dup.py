@@ -2,10 +2,12 @@
 
 Documents of equal shingle sets are one class. Classes enter independent trees: a node picks coordinates of the
 min-wise sketch by its own random choice (1 / ``threshold`` of them on average), and a document branches to the child
-of each picked coordinate and its value there. Leaves are compared: first with the leaf's smallest class, then, where
-the verified links leave a leaf in more than one component, all remaining pairs across components. Leaves of more
-than ``LEAF`` members branch on; those that reach ``MAX_DEPTH`` are compared in blocks. A pair counts only after the
-exact comparison of the full shingle sets.
+of each picked coordinate and its value there. Every node is first compared with its smallest class, its pivot. Nodes of
+at most ``LEAF`` classes are compared pair by pair across the components that the verified links leave. Larger nodes of
+one pivot, mostly the same family met in several trees, are one group: it is compared with further pivots in turns that
+are linear in its size, what they join is contracted, and only members outside the largest component go to all blocks of
+the group. Nodes of groups over ``WIDE`` classes branch on first. A pair counts only after the exact comparison of the
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from .kernels import lower_ascii, mix, prefix_hash, range_hash, text_chunks, wor
 from .storage import bounded_batches, shared_if_small, written
 
 COORDINATES = 64
-TREES = 10
-START_DEPTH, MAX_DEPTH = 3, 6
-#: Members of a leaf that are compared exhaustively, and of a block of a leaf that reaches MAX_DEPTH.
-LEAF, BLOCK = 256, 512
-#: Shingles of a member that a group compares; a longer set is compared by its smallest ones first, then checked whole.
-KEPT_ITEMS = 4096
+TREES = 14
+START_DEPTH, MAX_DEPTH = 3, 10
+#: Classes of a leaf that are compared exhaustively; of a group that is compared in blocks, and of a block.
+LEAF, WIDE, BLOCK = 64, 4096, 512
+#: Pivots of a large group in a turn, and turns at most; a turn that joins under a GAIN of the group ends them.
+PIVOTS, TURNS, GAIN = 8, 4, 0.05
+#: Shingles of a class that one task compares with others; longer sets are compared slice by slice.
+SLICE_ITEMS = 4096
 #: Sketch agreement below which a pair is not checked: about four standard errors under the threshold.
 MARGIN = 0.18
 #: Class ids broadcast at most to pick the texts whose sets are needed (8 bytes each); joined by a shuffle beyond.
@@ -186,14 +190,13 @@ class _Join:
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb")
         return written(joined.mapInArrow(_likely(self.threshold - MARGIN, self.threshold), "a long, b long"), "near-likely")
 
-    def items(self, ids: DataFrame, most: int | None = None) -> DataFrame:
-        """id, items: the sorted shingle hashes of the classes ``ids``, at most the ``most`` smallest ones."""
+    def items(self, ids: DataFrame) -> DataFrame:
+        """id, items: the sorted shingle hashes of the classes ``ids``."""
         ids = written(ids.distinct(), "near-ids")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared_if_small(ids, BROADCAST_IDS), "id", "left_semi")
         sets = texts.mapInArrow(_setter(self.width), "id long, items binary").join(self.sketches.select("id", "n"), "id")
         # Rows that share an id may differ in text: the class's own set is one of its size.
-        sets = sets.where(F.octet_length("items") == 8 * F.col("n")).select("id", F.substring("items", 1, 8 * most).alias("items") if most else "items")
-        return written(sets.dropDuplicates(["id"]), "near-sets")
+        return written(sets.where(F.octet_length("items") == 8 * F.col("n")).select("id", "items").dropDuplicates(["id"]), "near-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
@@ -203,14 +206,22 @@ class _Join:
         return written(joined.mapInArrow(_verifier(self.percent), "a long, b long"), "near-links")
 
 
-def _across(nodes: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(node, id, component) of the nodes that hold more than one component, with pivot (smallest id) and size."""
+def _open(nodes: DataFrame, known: DataFrame | None) -> DataFrame:
+    """node, id, component of the nodes that hold more than one component, with the node's size and smallest id (pivot)."""
     if known is None:
         placed = nodes.withColumn("component", F.col("id"))
     else:
         placed = nodes.join(known, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-    shape = placed.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return placed.join(shape.select("node", "pivot", "size"), "node")
+    shape = placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return placed.join(shape.select("node", "size", "pivot"), "node")
+
+
+def _pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """a, b: the members of each node with pivots of other components; in turn 0 the smallest id, later PIVOTS random members."""
+    orders = [F.xxhash64("id", F.lit(turn * PIVOTS + k)) for k in range(PIVOTS)] if turn else [F.col("id")]
+    chosen = rows.groupBy("node").agg(F.array_distinct(F.array(*[F.min_by(F.struct("id", "component"), o) for o in orders])).alias("pivots"))
+    met = rows.join(chosen, "node").select("id", "component", F.explode("pivots").alias("p")).where("component != p.component")
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
 
 def _with_partners(floor: float, threshold: float):
@@ -244,9 +255,9 @@ def _common(items: list[np.ndarray]) -> np.ndarray:
     value = np.concatenate(items)
     order = np.argsort(value, kind="stable")
     value, member = value[order], member[order]
-    first = np.concatenate([[True], value[1:] != value[:-1]])
+    first = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
     column = np.cumsum(first) - 1
-    shared = np.bincount(column)[column] > 1
+    shared = np.bincount(column)[column] > 1 if len(column) else np.empty(0, bool)
     column, member = np.unique(column[shared], return_inverse=True)[1], member[shared]
     out = np.zeros((len(items), len(items)), np.float32)
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
@@ -257,22 +268,56 @@ def _common(items: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _slicer(batches):
+    """(group, id, component, n, slices, items) to (group, slice, id, component, n, items): the items of each range of hashes.
+
+    A class gives a row for each slice it has items in, and one for slice 0 in any case.
+    """
+    names = ["group", "slice", "id", "component", "n", "items"]
+    for batch in batches:
+        at, slices, parts = [], [], []
+        for i, (n, raw) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5), strict=True)):
+            items = np.frombuffer(raw.as_buffer(), "<u8")
+            step = (1 << 64) // n + 1
+            cuts = np.searchsorted(items, np.array([k * step for k in range(1, n)], np.uint64)) if n > 1 else np.empty(0, np.int64)
+            for k, part in enumerate(np.split(items, cuts)):
+                if k == 0 or len(part):
+                    at.append(i)
+                    slices.append(k)
+                    parts.append(part.tobytes())
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(slices, pa.int32()), *(batch.column(k).take(at) for k in (1, 2, 3)), pa.array(parts, pa.binary())], names)
+
+
+def _counter(batches):
+    """(group, members (id, component, n, items) of a slice) to (group, members, pairwise intersections as a matrix)."""
+    for batch in batches:
+        groups, members, counts = [], [], []
+        for group, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            m = rows.values
+            groups.append(group)
+            members.append(np.stack([m.field(k).to_numpy() for k in range(3)]).astype("<i8").tobytes())
+            counts.append(_common([np.frombuffer(x.as_buffer(), "<u8") for x in m.field(3)]).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(members, pa.binary()), pa.array(counts, pa.binary())], ["group", "members", "common"])
+
+
 def _linker(percent: int):
-    """Members (id, component, n, items) of a group to (a, b, sure): a forest of exact links that joins all that the group's
-    links join; where a set is only known by its smallest items, every pair that may link, not sure."""
+    """The slices (members, common) of a group to (a, b): a forest of exact links that joins all that the group's links join."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for members in batch.column(0):
-                m = members.values
-                ids, component, n = (m.field(k).to_numpy() for k in range(3))
-                items = [np.frombuffer(x.as_buffer(), "<u8") for x in m.field(3)]
-                common = _common(items)
-                whole = np.array([len(x) for x in items]) == n
+            for slices in batch.column(0):
+                parts = [np.frombuffer(x.as_buffer(), "<i8").reshape(3, -1) for x in slices.values.field(0)]
+                ids, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+                component, n = (np.concatenate([p[k] for p in parts])[first] for k in (1, 2))
+                common = np.zeros((len(ids), len(ids)), np.int64)
+                for p, raw in zip(parts, slices.values.field(1), strict=True):
+                    at = np.searchsorted(ids, p[0])
+                    common[np.ix_(at, at)] += np.frombuffer(raw.as_buffer(), "<i4").reshape(len(at), -1)
                 union = n[:, None] + n[None, :] - common
                 other = component[:, None] != component[None, :]
-                link = (100 * common >= percent * union) & other & whole[:, None] & whole[None, :]
+                link = (100 * common >= percent * union) & other
                 seen = np.zeros(len(ids), bool)
                 for root in range(len(ids)):
                     frontier = [] if seen[root] else [root]
@@ -283,70 +328,83 @@ def _linker(percent: int):
                         for x in new.tolist():
                             by = int(step[:, x].argmax())
                             if step[by, x]:
-                                out.append((ids[frontier[by]], ids[x], True))
+                                out.append((ids[frontier[by]], ids[x]))
                         seen[new] = True
                         frontier = new.tolist()
-                for i in np.flatnonzero(~whole).tolist():
-                    for j in np.flatnonzero(other[i] & (whole | (np.arange(len(ids)) > i))).tolist():
-                        low = np.unique(np.concatenate([items[i], items[j]]))[: min(len(items[i]), len(items[j]))]
-                        both = np.isin(low, items[i]) & np.isin(low, items[j])
-                        if both.mean() >= percent / 100 - 4 / np.sqrt(len(low)) / 2:
-                            out.append((ids[i], ids[j], False))
-            yield pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b, _ in out], pa.int64()), pa.array([max(a, b) for a, b, _ in out], pa.int64()), pa.array([s for _, _, s in out], pa.bool_())], ["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array([min(a, b) for a, b in out], pa.int64()), pa.array([max(a, b) for a, b in out], pa.int64())], ["a", "b"])
 
     return run
 
 
 def _links_within(rows: DataFrame, run: _Join) -> DataFrame:
-    """a, b, sure of the links across components in groups of at most twice BLOCK members (bounded by what the caller groups)."""
+    """a, b of the links across components in groups whose size the caller bounds (LEAF, or twice BLOCK)."""
     members = rows.join(run.sketches, "id").select("group", F.struct("id", "component", "n", "sketch").alias("m"))
     lists = members.groupBy("group").agg(F.collect_list("m").alias("m")).select("group", "m")
     likely = written(lists.mapInArrow(_with_partners(run.threshold - MARGIN, run.threshold), "group string, id long, component long, n long"), "near-partners")
-    lists = likely.join(run.items(likely.select("id"), KEPT_ITEMS), "id").groupBy("group").agg(F.collect_list(F.struct("id", "component", "n", "items")).alias("m")).select("m")
-    return lists.mapInArrow(_linker(run.percent), "a long, b long, sure boolean")
+    wide = likely.groupBy("group").agg(F.ceil(F.max("n") / SLICE_ITEMS).cast("int").alias("slices"))
+    held = likely.join(wide, "group").join(run.items(likely.select("id")), "id").select("group", "id", "component", "n", "slices", "items")
+    sliced = held.mapInArrow(_slicer, "group string, slice int, id long, component long, n long, items binary")
+    lists = sliced.groupBy("group", "slice").agg(F.collect_list(F.struct("id", "component", "n", "items")).alias("m")).select("group", "m")
+    counted = lists.mapInArrow(_counter, "group string, members binary, common binary")
+    whole = counted.groupBy("group").agg(F.collect_list(F.struct("members", "common")).alias("slices")).select("slices")
+    return whole.mapInArrow(_linker(run.percent), "a long, b long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Members of large nodes, sent to each pair of blocks they belong to: the exact way for nodes that no branching splits."""
-    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = dealt.select("node", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return sent.select(F.concat_ws("/", "node", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "id", "component")
+    """Members of large groups: each goes to its own block, those outside the group's largest component to all blocks.
+
+    Outsiders are dealt to turns of at most about BLOCK, so that one task compares at most about twice BLOCK members. Up
+    to WIDE members, rows are at most WIDE / BLOCK times the members.
+    """
+    largest = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("component", F.struct("k", F.col("component"))).alias("giant"))
+    dealt = rows.join(largest, "node").withColumn("outside", F.col("component") != F.col("giant"))
+    shape = dealt.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("rounds"))
+    dealt = dealt.join(shape, "node").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("turn", F.pmod(F.xxhash64("id"), "rounds").cast("int"))
+    home = dealt.select("node", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("turn"))
+    away = dealt.where("outside").select("node", "id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "turn")
+    return home.union(away).distinct().select(F.concat_ws("/", "node", "own", "turn").alias("group"), "id", "component")
 
 
 def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed documents, classes, verified links between class ids) of ``docs``."""
+    """(signed documents, classes, verified links between class ids) of ``docs`` (doc_id, text; as in ``near_duplicates``)."""
     bounded_batches(docs.sparkSession)
     run = _Join(docs, width, percent)
     nodes = written(run.sketches.select("id", "sketch").mapInArrow(_grower(START_DEPTH, run.threshold, True), "node long, id long"), "near-nodes")
-    shared = _across(nodes, None)
-    first = written(shared.select("node", "id", "pivot", "size"), "near-shared")
-    stars = first.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = run.verified(run.likely(stars))
+    rows = written(_open(nodes, None), "near-open")
+    links = run.verified(run.likely(_pivot_pairs(rows, 0)))
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    todo, candidates = first.select("node", "id"), []
+    rows, leaves = written(_open(rows.select("node", "id"), found), "near-open"), []
     for depth in range(START_DEPTH, MAX_DEPTH + 1):
-        open_nodes = written(_across(todo, found), "near-open")
-        small = open_nodes.where(F.col("size") <= LEAF)
+        small = rows.where(F.col("size") <= LEAF)
         if depth == START_DEPTH:  # the pivot has been compared with every member: what is left are the pairs of the others
             small = small.where("size > 2 and id != pivot")
-        candidates.append(_links_within(small.select(F.col("node").cast("string").alias("group"), "id", "component"), run))
-        large = open_nodes.where(F.col("size") > LEAF)
+        leaves.append(small.select(F.col("node").cast("string").alias("group"), "id", "component"))
+        large = rows.where(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        if depth == MAX_DEPTH:
-            candidates.append(_links_within(_blocks(large), run))
+        groups = written(_open(large.select(F.col("pivot").alias("node"), "id").distinct(), found), "near-groups")
+        for turn in range(1, TURNS + 1):
+            more = run.verified(run.likely(_pivot_pairs(groups, turn)))
+            gained, size = more.count(), groups.count()
+            if gained:
+                links = links.union(more)
+                found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+                groups = written(_open(groups.select("node", "id"), found), "near-groups")
+            if gained < GAIN * size:
+                break
+        wide = groups.where(F.col("size") > WIDE)
+        if depth == MAX_DEPTH or wide.isEmpty():
+            leaves.append(_blocks(groups))
             break
-        grown = large.select("id", "node").join(run.sketches, "id").select("id", "sketch", "node")
-        todo = written(grown.mapInArrow(_grower(1, run.threshold, False), "node long, id long").distinct(), "near-nodes")
-    rest = candidates[0]
-    for c in candidates[1:]:
-        rest = rest.union(c)
-    rest = written(rest.distinct(), "near-rest")
-    links = links.union(rest.where("sure").select("a", "b"))
-    unsure = rest.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti")
-    if not unsure.isEmpty():
-        links = links.union(run.verified(unsure))
-    return run.signed, run.classes, links
+        leaves.append(_blocks(groups.where(F.col("size") <= WIDE)))
+        again = large.select("id", "node", "pivot").join(wide.select(F.col("node").alias("pivot")).distinct(), "pivot", "left_semi")
+        grown = again.select("id", "node").join(run.sketches, "id").select("id", "sketch", "node").mapInArrow(_grower(1, run.threshold, False), "node long, id long")
+        rows = written(_open(written(grown.distinct(), "near-nodes"), found), "near-open")
+    dealt = leaves[0]
+    for more in leaves[1:]:
+        dealt = dealt.union(more)
+    links = links.union(written(_links_within(dealt, run), "near-rest"))
+    return run.signed, run.classes, links.distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -60,7 +60,7 @@ def test_against_all_pairs(spark):
 
 def test_branching_and_blocks(spark, monkeypatch):
     """Leaves of four members and few levels: families pass through every level into the blocks."""
-    for name, value in (("LEAF", 4), ("BLOCK", 6), ("MAX_DEPTH", 5), ("KEPT_ITEMS", 60)):
+    for name, value in (("LEAF", 4), ("BLOCK", 6), ("MAX_DEPTH", 5), ("SLICE_ITEMS", 60), ("PIVOTS", 2), ("WIDE", 20)):
         monkeypatch.setattr(near_dup, name, value)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
