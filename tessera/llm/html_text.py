@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
 Every element gets a density: characters per tag, adjusted for the share of link text. The children's densities are
-summed; the element with the largest sum is the content, and the smallest density on its path to the body is the
-threshold with which further dense elements join it. Elements that are boilerplate by their kind (navigation,
-scripts, forms) or by their role, class or id are taken out before.
+summed; the element with the largest sum is the content (or the article that it is part of), and the smallest density on
+its path to the body is the threshold with which further dense elements join it. Elements that are boilerplate by their
+kind or role (navigation, scripts, forms) are taken out before. Words of a class or id choose nothing: they take parts
+like adverts or comments out of the chosen subtree, and such parts are not themselves chosen. A page without any dense
+element gives all text of its body. Parsing takes time in proportion to the page, however deep it nests.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -43,30 +47,30 @@ class Tree:
 
     def __init__(self):
         self.tag, self.parent, self.dropped, self.runs = ["#root"], [-1], [False], []
-        self.kind = [KEPT]
+        self.kind, self.marked = [KEPT], [False]
 
     def settle(self) -> None:
-        """Decide what a class or id word alone does not, and take out the text of dropped elements."""
+        """Mark the elements that a class or id word calls boilerplate, and take out the text of dropped ones."""
         n = len(self.tag)
         linked, plain, inside = [False] * n, [0] * n, [0] * n
         for i in range(1, n):
             linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
-            inside[i] = int(self.tag[i] in ("article", "main") and not self.dropped[i])
+            self.dropped[i] = self.dropped[self.parent[i]] or self.kind[i] == HARD
+            inside[i] = int(self.tag[i] in ("article", "main") and not self.dropped[i] and self.kind[i] != WORD)
         for i, text in self.runs:
             if text and not linked[i]:
                 plain[i] += len("".join(text.split()))
         for i in range(n - 1, 0, -1):
             plain[self.parent[i]] += plain[i]
             inside[self.parent[i]] += inside[i]
+        word = [False] * n
+        for i in range(1, n):  # most of the page's text, and each article or main element, is no boilerplate
+            word[i] = self.kind[i] in (SOFT, WORD) and not (2 * plain[i] > plain[0] and inside[i] == inside[0])
+        holds = [t in ("article", "main") and k != HARD and not (k == WORD and w) for t, k, w in zip(self.tag, self.kind, word, strict=True)]
+        for i in range(n - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i] and not (self.kind[i] == WORD and word[i])
         for i in range(1, n):
-            if self.kind[i] in (SOFT, WORD):  # most of the page's text, and each article or main element, is no boilerplate
-                most = 2 * plain[i] > plain[0] and inside[i] == inside[0]
-                self.kind[i] = KEPT if most else HARD if self.kind[i] == WORD else SOFT
-        holds = [t in ("article", "main") and k != HARD for t, k in zip(self.tag, self.kind, strict=True)]
-        for i in range(len(holds) - 1, 0, -1):
-            holds[self.parent[i]] |= holds[i] and self.kind[i] != HARD
-        for i in range(1, len(holds)):
-            self.dropped[i] = self.dropped[self.parent[i]] or self.kind[i] == HARD or self.kind[i] == SOFT and not holds[i]
+            self.marked.append(self.marked[self.parent[i]] or word[i] and (self.kind[i] == WORD or not holds[i]))
         self.runs = [(i, text) for i, text in self.runs if text is None or not self.dropped[i]]
 
 
@@ -74,7 +78,7 @@ KEPT, SOFT, WORD, HARD = range(4)
 
 
 def _dropping(tag: str, attributes: str, in_content: bool) -> int:
-    """HARD: boilerplate with all in it; WORD: boilerplate unless it holds most of the page; SOFT: or an article or main element."""
+    """HARD: boilerplate with all in it; WORD: called so unless it holds most of the page; SOFT: or an article or main element."""
     if tag in DROPPED or tag == "header" and not in_content:
         return HARD
     if not attributes or tag in ("body", "html"):
@@ -86,7 +90,7 @@ def _dropping(tag: str, attributes: str, in_content: bool) -> int:
             return HARD
         if tag in ("article", "main"):
             if name == "class" and not COMMENT_ARTICLES.isdisjoint(value.lower().split()):
-                return HARD
+                out = WORD
         elif name == "role" and value.lower() in ROLES:
             return HARD
         elif name in ("class", "id") and BOILERPLATE.search(value):
@@ -100,15 +104,30 @@ def parse(text: str) -> Tree:
     tags, parents, hard, runs = tree.tag, tree.parent, tree.dropped, tree.runs
     match = _TOKEN.search
 
+    #: Depths of the open elements by name, and of the open blocks that are no paragraphs, each rising.
+    where: dict[str, list[int]] = defaultdict(list)
+    walls: list[int] = []
+
+    def lowest(names, above: int) -> list[int]:
+        """Of each name the lowest open element deeper than ``above``."""
+        return [w[k] for name in names if (w := where[name]) and (k := bisect_right(w, above)) < len(w)]
+
+    def highest(names) -> int:
+        return max((where[name][-1] for name in names if where[name]), default=0)
+
     def pop_to(depth: int) -> None:
         nonlocal content
         while len(stack) > depth:
             i = stack.pop()
+            where[tags[i]].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
             content -= tags[i] in ("article", "main")
             if tags[i] in BLOCKS:
                 runs.append((i, None))
 
-    while m := match(text, at):
+    last = text.rfind(">") + 1  # no tag ends behind it
+    while m := match(text, at, max(at, last)):
         if m.start() > at and not hard[stack[-1]]:
             runs.append((stack[-1], text[at : m.start()]))
         at = m.end()
@@ -117,35 +136,20 @@ def parse(text: str) -> Tree:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            if name in ("body", "html"):
+            if name in ("body", "html") or not where[name]:
                 continue
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] == name:
-                    pop_to(d)
-                    break
-                if tags[stack[d]] in ("table", "article", "body") and name not in ("table", "article", "div", "section", "main", "form"):
-                    break
+            d = where[name][-1]
+            if name in ("table", "article", "div", "section", "main", "form") or d > highest(("table", "article", "body")):
+                pop_to(d)
             continue
         attributes = m[3] or m[6] or ""
-        if name in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1):
-                t = tags[stack[d]]
-                if t == "p":
-                    pop_to(d)
-                    break
-                if t in BLOCKS or t == "button":
-                    break
+        if name in CLOSES_P and where["p"] and where["p"][-1] > (walls[-1] if walls else 0):
+            pop_to(where["p"][-1])
         if name in CLOSED_BY:
-            closes, scope, cut = CLOSED_BY[name], SCOPES.get(name, ()), 0
-            for d in range(len(stack) - 1, 0, -1):
-                t = tags[stack[d]]
-                if t in closes:
-                    cut = d
-                elif t in scope or t in ("div", "section", "article", "body") and not cut:
-                    break
-            if cut:
-                pop_to(cut)
-        if name in ("html", "body") and name in [tags[i] for i in stack]:
+            closes, scope = CLOSED_BY[name], highest(SCOPES.get(name, ()))
+            if highest(closes) > max(scope, highest(("div", "section", "article", "body"))):
+                pop_to(min(lowest(closes, scope)))
+        if name in ("html", "body") and where[name]:
             continue
         above = stack[-1]
         i = len(tags)
@@ -164,6 +168,9 @@ def parse(text: str) -> Tree:
             continue
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
+        where[name].append(len(stack))
+        if (name in BLOCKS or name == "button") and name != "p":
+            walls.append(len(stack))
         stack.append(i)
         content += name in ("article", "main")
     if at < len(text) and not hard[stack[-1]]:
@@ -203,12 +210,12 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
         plain = max(1, c - link_chars[i])
         base = math.log(c / plain * link_chars[i] + linked / whole * c + math.e)
         density[i] = c / t * max(0.0, math.log(c / lc * t / lt + 1e-9)) / max(math.log(base), 1.0) if c > 1 else 0.0
+    block = [0] * n  # the block that an element is or is in: an inline element between two blocks does not hide the inner one
     for i in range(1, n):
-        if tree.tag[i] in BLOCKS:
-            p = tree.parent[i]
-            while p and tree.tag[p] not in BLOCKS:  # an inline element between two blocks does not hide the inner one
-                p = tree.parent[p]
-            total[p] += density[i]
+        above = block[tree.parent[i]]
+        block[i] = i if tree.tag[i] in BLOCKS else above
+        if block[i] == i:
+            total[above] += density[i]
     return density, total
 
 
@@ -217,9 +224,9 @@ def select(tree: Tree) -> list[bool]:
     n = len(tree.tag)
     density, total = densities(tree)
     top = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    best = max(range(n), key=lambda i: (total[i] if not tree.dropped[i] else -1.0, -i))
+    best = max((i for i in range(n) if not tree.dropped[i] and not tree.marked[i]), key=lambda i: (total[i], -i))
     if total[best] <= 0:
-        best = top
+        return [not gone and (i == 0 or i >= top) for i, gone in enumerate(tree.dropped)]
     i = best
     while i > 0:  # a part of an article stands for the article
         if tree.tag[i] == "article":
@@ -235,11 +242,12 @@ def select(tree: Tree) -> list[bool]:
     for i in range(n):
         within[i] = i == best or i > 0 and within[tree.parent[i]]
     scope = any(tree.tag[i] in ("article", "main") and within[i] for i in range(n)) or any(tree.tag[i] == "article" for i in _ancestors(tree, best))
+    path = set(_ancestors(tree, best))
     for i in range(n):
         p = tree.parent[i]
         inherited = i > 0 and chosen[p]
-        dense = not scope and tree.tag[i] in BLOCKS and i not in (0, top) and tree.tag[i] != "html" and density[i] >= threshold and not _holds(tree, i, best)
-        chosen[i] = not tree.dropped[i] and (inherited or within[i] or dense or tree.tag[i] == "h1" and not scope)
+        dense = not scope and tree.tag[i] in BLOCKS and i not in (0, top) and tree.tag[i] != "html" and density[i] >= threshold and i not in path
+        chosen[i] = not tree.dropped[i] and not tree.marked[i] and (inherited or within[i] or dense or tree.tag[i] == "h1" and not scope)
     return chosen
 
 
@@ -249,10 +257,6 @@ def _ancestors(tree: Tree, i: int):
         i = tree.parent[i]
 
 
-def _holds(tree: Tree, i: int, inner: int) -> bool:
-    return i in _ancestors(tree, inner)
-
-
 def main_text(text: str | None) -> str:
     """Blocks of the main text in page order, one a line; white space inside a block is one blank."""
     if not text:

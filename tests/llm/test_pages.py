@@ -1,10 +1,14 @@
 import base64
 import hashlib
 import io
+import math
+import random
+import time
 import zipfile
 
 import pytest
 
+from tessera.llm import html_text
 from tessera.llm.html_text import densities, extract_text, main_text, parse
 from tessera.llm.storage import open_fs
 from tessera.llm.warc import StoredZip, read_archive, warc_record, warc_roundtrip, write_archive
@@ -41,6 +45,56 @@ def test_density_prefers_text_over_links():
     assert density[second] > density[first]
 
 
+def random_tree(seed):
+    """Random nested elements as html."""
+    r = random.Random(seed)
+
+    def node(depth):
+        tag = r.choice(["div", "p", "a", "b", "span", "section", "ul"]) if depth else "body"
+        inner = "".join(node(depth + 1) if r.random() < 0.6 and depth < 6 else " word" * r.randrange(0, 9) for _ in range(r.randrange(1, 5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    return node(0)
+
+
+def test_densities_against_brute_force():
+    """Each element's density from its own subtree, gathered anew for every element."""
+    for seed in range(60):
+        tree = parse(random_tree(seed))
+        density, total = densities(tree)
+        n = len(tree.tag)
+        up = lambda i: [i, *up(tree.parent[i])] if i >= 0 else []
+        under = [{j for j in range(n) if i in up(j)} for i in range(n)]
+        size = lambda ids, linked: sum(len("".join(t.split())) for j, t in tree.runs if t and j in ids and (not linked or "a" in {tree.tag[k] for k in up(j)}))
+        whole, links = max(1, size(under[0], False)), size(under[0], True)
+        for i in range(n):
+            c, l = size(under[i], False), size(under[i], True)
+            t, lt = max(1, len(under[i]) - 1), max(1, sum(tree.tag[j] == "a" for j in under[i] - {i}))
+            want = 0.0
+            if c > 1:
+                base = math.log(c / max(1, c - l) * l + links / whole * c + math.e)
+                want = c / t * max(0.0, math.log(c / max(1, l) * t / lt + 1e-9)) / max(math.log(base), 1.0)
+            assert density[i] == pytest.approx(want)
+        for i in range(n):
+            if i == 0 or tree.tag[i] in html_text.BLOCKS:
+                nearest = [j for j in range(n) if j and tree.tag[j] in html_text.BLOCKS and next(k for k in up(j)[1:] if k == 0 or tree.tag[k] in html_text.BLOCKS) == i]
+                assert total[i] == pytest.approx(sum(density[j] for j in nearest))
+
+
+def test_density_chooses(monkeypatch):
+    """Without densities nothing is chosen: the body's text stays, class words and all."""
+    assert "We use cookies" not in main_text(PAGE)
+    monkeypatch.setattr(html_text, "densities", lambda tree: ([0.0] * len(tree.tag), [0.0] * len(tree.tag)))
+    assert "We use cookies" in main_text(PAGE) and "Second paragraph" in main_text(PAGE)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</p>" * 40_000, "<b>" * 40_000 + "<li>x" * 40_000, "<x><table>" + "<b>" * 40_000 + "</x>" * 40_000, "<a " * 40_000, "<ul>" + "<b>" * 40_000 + "<li>" * 40_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_extract_text(spark):
     rows = [(1, "u", PAGE, "x"), (1, None, None, "y"), (None, "u", "", "z"), (4, "u", "<p>" + "long " * 50_000, "w")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
