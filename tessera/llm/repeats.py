@@ -4,6 +4,9 @@ Every ``length``-byte string holds a window whose hash is the smallest in it (le
 strings have equal anchors, so only texts around equal anchors need sorting. An anchor stands for the strings that chose
 it; together they are its context. Equal contexts are one (a context that occurs twice is repeated as a whole); the
 bytes of the others are gathered by anchor, and their suffixes are sorted by bucket-pointer refinement to ``length``.
+An anchor with more contexts than one sort takes is split by the bytes next to it: a string reaches at least half of what
+it has beside the anchor to the left, or more than half to the right, so it goes with the strings that are equal there.
+Texts are shuffled only where a bitmap of bounded size says that they may hold repeats.
 """
 
 from __future__ import annotations
@@ -15,17 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import prefix_hash, range_hash, text_chunks, window_hash
-from .storage import bounded_batches, shared_if_small, written
+from .storage import bounded_batches, sieve, sifted, written
 
 ANCHOR = 32
 Q = 8
-#: Bytes of contexts that are sorted at once, and contexts of one anchor up to which they are; more are matched by hash.
+#: Bytes of contexts that are sorted at once, and contexts of one anchor up to which they are; more are split first.
 SORT_BYTES = 1 << 20
 GROUP_CONTEXTS = 1000
-#: Rows (of lists: elements, about 150 bytes each in memory) broadcast at most in the joins to the texts; shuffled joins beyond.
-BROADCAST_ROWS, BROADCAST_ELEMENTS = 400_000, 800_000
-#: Strings of oversized groups that one task matches, about.
-BUCKET_STRINGS = 2_000_000
+#: A text with more than one in HOT_SHARE of all rows as copies is hot: at most HOT_SHARE keys, found without a shuffle of texts.
+HOT_SHARE = 2000
 
 
 # -- suffix sorting ---------------------------------------------------------------------------------------------
@@ -137,15 +138,15 @@ ANCHOR_SCHEMA = "anchor long, context long, key binary, place int, before int, m
 
 
 def _context_bytes(length: int):
-    """(key, text, wanted: array of (anchor, context, start, more)) to (anchor, context, more, bytes)."""
+    """(text, wanted: array of (anchor, context, start, before, more)) to (anchor, context, before, more, bytes)."""
 
     def run(batches):
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["context"] for w in wanted], pa.int64()), pa.array([w["more"] for w in wanted], pa.int32()), pa.array([data[w["start"] : w["start"] + w["more"] + length] for w in wanted], pa.binary())],
-                    ["anchor", "context", "more", "bytes"],
+                    [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["context"] for w in wanted], pa.int64()), pa.array([w["before"] for w in wanted], pa.int32()), pa.array([w["more"] for w in wanted], pa.int32()), pa.array([data[w["start"] : w["start"] + w["more"] + length] for w in wanted], pa.binary())],
+                    ["anchor", "context", "before", "more", "bytes"],
                 )
 
     return run
@@ -198,82 +199,87 @@ def _sorted_groups(length: int):
     return run
 
 
-STRING = np.dtype([("hash", "<u8"), ("second", "<u8"), ("anchor", "<i8"), ("context", "<i8"), ("start", "<i4")])
+PIECE = "anchor long, context long, of_anchor long, of_context long, shift int, before int, more int, width int, bytes binary"
 
 
-def _dealt_strings(length: int, buckets: int):
-    """Contexts to rows (bucket, strings): the hashes of all their strings, dealt by hash, one row a batch and bucket."""
+def _halves(length: int):
+    """Contexts (anchor, context, before, more, width, bytes) to their two pieces (PIECE).
 
-    def run(batches):
-        from .kernels import text_buffers
+    All strings of a context hold the ``width`` bytes at ``before``, its core. Those that reach at least half of the rest
+    to its left are one piece, whose core grows to the left by that half; the others have a core that grows to the right.
+    The new anchor is a hash of the old one, the side and the new core, so equal strings keep meeting; the new context is
+    a hash of the piece. ``shift`` is the piece's first string within the old context.
+    """
 
+    def run(batches):
         for batch in batches:
-            data, bounds = text_buffers(batch.column(3))
-            prefix = prefix_hash(data)
-            more = batch.column(2).to_numpy()
-            row = np.repeat(np.arange(len(batch)), more + 1)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-            at = bounds[:-1][row] + start
-            out = np.empty(len(row), STRING)
-            out["hash"] = range_hash(prefix, at, at + length)
-            half = at + length // 2
-            out["second"] = range_hash(prefix, at, half) + np.uint64(3) * range_hash(prefix, half, at + length)
-            out["anchor"], out["context"], out["start"] = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], start
-            bucket = (out["hash"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([out[order[edges[k] : edges[k + 1]]].tobytes() for k in full], pa.binary())], ["bucket", "strings"])
+            out = []
+            for anchor, context, before, more, width, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                half = -(-(length - width) // 2)
+                edge = before - half  # the last string that reaches half of the rest to the left
+                for side, lo, hi in ((0, 0, min(more, edge)), (1, max(0, edge + 1), more)):
+                    if hi < lo:
+                        continue
+                    data = raw[lo : hi + length]
+                    core, wide = (before - half - lo, width + half) if side == 0 else (before - lo, length - half + 1)
+                    names = [hashlib.blake2b(x, digest_size=8).digest() for x in (b"%d %d " % (anchor, side) + data[core : core + wide], b"%d " % core + data)]
+                    out.append((*(int.from_bytes(x, "little", signed=True) for x in names), anchor, context, lo, core, hi - lo, wide, data))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "context", "of_anchor", "of_context", "shift", "before", "more", "width", "bytes"])
 
     return run
 
 
-def _matched_strings(pdf):
-    import pandas as pd
-
-    rows = np.concatenate([np.frombuffer(x, STRING) for x in pdf.strings])
-    order = np.lexsort((rows["second"], rows["hash"]))
-    rows = rows[order]
-    first = np.concatenate([[True], (rows["hash"][1:] != rows["hash"][:-1]) | (rows["second"][1:] != rows["second"][:-1])])
-    rows = rows[_shared(first)]
-    rows = rows[np.lexsort((rows["start"], rows["context"], rows["anchor"]))]
-    if not len(rows):
-        return pd.DataFrame({"anchor": [], "context": [], "starts": []})
-    edge = np.flatnonzero(np.concatenate([[True], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["context"][1:] != rows["context"][:-1])]))
-    return pd.DataFrame({"anchor": rows["anchor"][edge], "context": rows["context"][edge], "starts": [x.astype("<i4").tobytes() for x in np.split(rows["start"], edge[1:])]})
-
-
-def _start_runs(batches):
-    for batch in batches:
-        anchors, contexts, firsts, lasts = [], [], [], []
-        for a, c, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            starts = np.unique(np.concatenate([np.frombuffer(b, "<i4") for b in blobs]))
-            cut = np.flatnonzero(np.diff(starts) > 1)
-            first, last = starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)]
-            anchors += [a] * len(first)
-            contexts += [c] * len(first)
-            firsts += first.tolist()
-            lasts += last.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["anchor", "context", "first", "last"])
-
-
-def _strings_of_large(contexts: DataFrame, length: int, n: int) -> DataFrame:
-    """The exact way for anchors with more contexts than one sort takes: strings are matched by 128 bits of hash, wherever they are."""
-    run_schema = "anchor long, context long, first int, last int"
-    buckets = max(1, -(-n * length // BUCKET_STRINGS))
-    dealt = contexts.select("anchor", "context", "more", "bytes").mapInArrow(_dealt_strings(length, buckets), "bucket long, strings binary")
-    found = dealt.groupBy("bucket").applyInPandas(_matched_strings, "anchor long, context long, starts binary")
-    return found.groupBy("anchor", "context").agg(F.collect_list("starts").alias("starts")).mapInArrow(_start_runs, run_schema)
+FOUND = "anchor long, context long, first int, last int"
+
+
+def _sorted_runs(contexts: DataFrame, length: int) -> DataFrame:
+    """FOUND: runs of repeated starts of ``contexts`` (anchor, context, more, bytes), each anchor's sorted in one task."""
+    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "context", "more", "bytes")
+    return dealt.mapInArrow(_sorted_groups(length), FOUND)
+
+
+def _runs_of_large(contexts: DataFrame, length: int) -> DataFrame:
+    """FOUND of anchors with more contexts than one sort takes: split level by level until a sort takes each group.
+
+    Every level halves what strings have beside their core, so after about log2(length) levels a group's strings are equal.
+    """
+    levels = []
+    rows = contexts.select("anchor", "context", "before", "more", F.lit(ANCHOR).alias("width"), "bytes")
+    while True:
+        pieces = written(rows.mapInArrow(_halves(length), PIECE), "repeat-pieces")
+        same = pieces.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("before", "more", "width", "bytes")).alias("p"))
+        same = written(same.select("anchor", "context", "copies", "p.*"), "repeat-same")
+        groups = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+        same = same.join(groups, "anchor")
+        found = same.where("copies > 1").select("anchor", "context", F.lit(0).alias("first"), F.col("more").alias("last"))
+        found = found.union(_sorted_runs(same.where(F.col("n").between(2, GROUP_CONTEXTS)), length))
+        levels.append((pieces.select("anchor", "context", "of_anchor", "of_context", "shift"), written(found, "repeat-runs")))
+        rows = written(same.where(F.col("n") > GROUP_CONTEXTS).select("anchor", "context", "before", "more", "width", "bytes"), "repeat-large")
+        if rows.isEmpty():
+            break
+    below = None
+    for pieces, found in reversed(levels):
+        found = found.union(below) if below is not None else found
+        met = pieces.join(found, ["anchor", "context"])
+        below = met.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+    return below
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """(spans, copied): spans has key and array of (start, end) bytes to remove of texts that occur once; copied has the
-    keys of texts of at least ``length`` bytes that occur more often, which are repeated as a whole. ``docs`` has key and text."""
+    keys of texts of at least ``length`` bytes that occur more often, which are repeated as a whole, and whether a key is
+    hot. ``docs`` has key, doc_id and text."""
     bounded_batches(docs.sparkSession)
-    counts = docs.where(F.octet_length("text") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("as_id")).where("copies > 1")
-    copied = written(counts, "repeat-copied")
-    listed = shared_if_small(copied.select("key", "as_id", F.lit(True).alias("listed")), BROADCAST_ROWS)
-    one = docs.where(F.octet_length("text") >= length).join(listed, "key", "left").where("listed is null or doc_id <=> as_id").select("key", "text")
+    long = docs.where(F.octet_length("text") >= length).select("key", "doc_id", "text")
+    counts = written(long.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("as_id")), "repeat-counts")
+    rows = counts.agg(F.sum("copies")).first()[0] or 0
+    copied = counts.where("copies > 1").select("key", (F.col("copies") * HOT_SHARE > rows).alias("hot"))
+    listed, single = sifted(long, "key", sieve(copied, "key"))
+    # One row of each text: met on key and id, so that the copies of a hot text don't meet in one task.
+    first = listed.alias("x").join(counts.alias("y"), (F.col("x.key") == F.col("y.key")) & F.col("x.doc_id").eqNullSafe(F.col("y.as_id")), "left_semi")
+    one = first.union(single).select("key", "text")
     anchors = written(one.mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA), "repeat-anchors")
     at = F.struct("key", "place")
     contexts = anchors.groupBy("anchor", "context").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min("before").alias("before"), F.min("more").alias("more"))
@@ -282,24 +288,20 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("any")).where("n > 1 or any")
     kept = written(contexts.join(groups, "anchor").select("anchor", "context", "a", "twice", "before", "more", "n"), "repeat-kept")
     solid = kept.where("twice").select("anchor", "context", F.lit(0).alias("first"), F.col("more").alias("last"))
-    mixed = kept.where("n > 1").select("a.key", F.struct("anchor", "context", (F.col("a.place") - F.col("before")).alias("start"), "more").alias("w"), "n")
-    wanted = written(mixed.groupBy("key").agg(F.collect_list("w").alias("wanted")), "repeat-wanted")
-    texts = one.join(shared_if_small(wanted, BROADCAST_ELEMENTS, "wanted"), "key")
-    raw = texts.select(F.col("text").cast("binary"), "wanted").mapInArrow(_context_bytes(length), "anchor long, context long, more int, bytes binary")
+    mixed = kept.where("n > 1").select("a.key", F.struct("anchor", "context", (F.col("a.place") - F.col("before")).alias("start"), "before", "more").alias("w"))
+    wanted = written(mixed.groupBy("key").agg(F.collect_list("w").alias("wanted")).join(counts.select("key", "as_id"), "key"), "repeat-wanted")
+    texts = sifted(long, "key", sieve(wanted, "key"))[0].alias("x").join(wanted.alias("y"), (F.col("x.key") == F.col("y.key")) & F.col("x.doc_id").eqNullSafe(F.col("y.as_id")))
+    raw = texts.select(F.col("text").cast("binary"), "wanted").mapInArrow(_context_bytes(length), "anchor long, context long, before int, more int, bytes binary")
     raw = written(raw, "repeat-bytes")
-    large = written(kept.groupBy("anchor").agg(F.max("n").alias("n")).where(F.col("n") > GROUP_CONTEXTS), "repeat-large")
-    n_large = large.agg(F.sum("n")).first()[0] or 0
-    found = solid
-    small = raw
-    if n_large:
-        big = shared_if_small(large.select("anchor"), BROADCAST_ROWS)
-        small = raw.join(big, "anchor", "left_anti")
-        found = found.union(_strings_of_large(raw.join(big, "anchor", "left_semi"), length, n_large))
-    small = small.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "context", "more", "bytes")
-    found = written(found.union(small.mapInArrow(_sorted_groups(length), "anchor long, context long, first int, last int")), "repeat-found")
+    large = written(kept.where(F.col("n") > GROUP_CONTEXTS).select("anchor").distinct(), "repeat-large")
+    found, small = solid, raw
+    if not large.isEmpty():
+        small = raw.join(large, "anchor", "left_anti")
+        found = found.union(_runs_of_large(raw.join(large, "anchor", "left_semi"), length))
+    found = written(found.union(_sorted_runs(small, length)), "repeat-found")
     hits = anchors.join(found, ["anchor", "context"]).select("key", (F.col("place") - F.col("before") + F.col("first")).alias("start"), (F.col("place") - F.col("before") + F.col("last") + length).alias("end"))
-    spans = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return written(spans, "repeat-spans"), copied
+    spans = hits.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(copied, "key", "left_anti")
+    return written(spans, "repeat-spans"), written(copied, "repeat-copied")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -321,10 +323,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` (keyed) with ``spans``: the byte ranges to remove, not merged; null or empty for none. One row for each row."""
     spans, copied = repeated_spans(docs, length)
-    whole = copied.select("key", F.lit(True).alias("whole"))
-    out = docs.join(shared_if_small(spans, BROADCAST_ELEMENTS, "spans"), "key", "left").join(shared_if_small(whole, BROADCAST_ROWS), "key", "left")
     every = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end")))
-    return out.withColumn("spans", F.when(F.col("whole"), every).otherwise(F.col("spans"))).drop("whole")
+    names, kind = docs.columns, spans.schema["spans"].dataType
+    # Hot texts are at most HOT_SHARE keys; a text that no bitmap knows has no repeats. The rest meets its spans by key.
+    hot = docs.join(F.broadcast(copied.where("hot").select("key", F.col("hot").alias("__whole"))), "key", "left")
+    known = spans.select("key", "spans", F.lit(False).alias("__copied")).union(copied.select("key", F.lit(None).cast(kind), F.lit(True)))
+    met, clean = sifted(hot.where("__whole is null"), "key", sieve(known, "key"))
+    met = met.join(known, "key", "left").select(*names, F.when(F.col("__copied"), every).otherwise(F.col("spans")).alias("spans"))
+    return hot.where("__whole").select(*names, every.alias("spans")).union(met).union(clean.select(*names, F.lit(None).cast(kind).alias("spans")))
 
 
 def _cut(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:

@@ -78,3 +78,26 @@ def shared_if_small(df: DataFrame, rows: int, lists: str | None = None) -> DataF
 
     n = (df.agg(F.sum(F.size(lists))).first()[0] or 0) if lists else df.count()
     return F.broadcast(df) if n <= rows else df
+
+
+#: Bits of a sieve, in words of 64: at most 262,144 rows whatever the number of keys.
+SIEVE_BITS = 24
+
+
+def sieve(keys: DataFrame, column: str) -> DataFrame:
+    """__word, __bits: the bitmap of the hashes of ``column``. Its size has a bound, so it may be broadcast; more keys let more pass."""
+    from pyspark.sql import functions as F
+
+    h = f"(xxhash64(`{column}`) & {(1 << SIEVE_BITS) - 1}L)"
+    bits = keys.select(F.expr(f"shiftright({h}, 6)").alias("__word"), F.expr(f"shiftleft(1L, cast({h} & 63 as int))").alias("__bits"))
+    return bits.groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+
+
+def sifted(df: DataFrame, column: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be a key of the sieve, rows whose ``column`` is none), without a shuffle of ``df``."""
+    from pyspark.sql import functions as F
+
+    h = f"(xxhash64(`{column}`) & {(1 << SIEVE_BITS) - 1}L)"
+    met = df.withColumn("__word", F.expr(f"shiftright({h}, 6)")).join(F.broadcast(bitmap), "__word", "left")
+    met = met.withColumn("__hit", F.expr(f"coalesce((__bits & shiftleft(1L, cast({h} & 63 as int))) <> 0, false)"))
+    return tuple(met.where(side).drop("__word", "__bits", "__hit") for side in ("__hit", "not __hit"))

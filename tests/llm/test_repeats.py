@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import repeats
+from tessera.llm import repeats, storage
 from tessera.llm.repeats import repeat_report, repeated_starts, without_repeats
 
 
@@ -60,9 +60,9 @@ def test_kernel_against_brute_force():
 def test_against_brute_force(spark, monkeypatch, cap):
     monkeypatch.setattr(repeats, "GROUP_CONTEXTS", cap)
     monkeypatch.setattr(repeats, "SORT_BYTES", 5000)
-    if cap == 3:  # the shuffled joins, too
-        monkeypatch.setattr(repeats, "BROADCAST_ELEMENTS", 1)
-        monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
+    if cap == 3:  # hot texts and a sieve that lets nearly all pass, too
+        monkeypatch.setattr(repeats, "HOT_SHARE", 30)
+        monkeypatch.setattr(storage, "SIEVE_BITS", 7)
     rows = corpus(cap)
     df = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, key string, spans string").repartition(3)
     for length in (400, 120):
@@ -76,3 +76,16 @@ def test_repeated_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, repeat_report(df).collect()), key=str) == plain(rows, 400)
     assert repeat_report(df.limit(0)).count() == 0
+
+
+def test_anchor_with_many_contexts(spark, monkeypatch):
+    """A short line in front of many texts: its anchors have more contexts than one sort takes, some strings repeat."""
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 4)
+    r = random.Random(8)
+    line, word = "All of this is one common line, met in many texts. ", lambda: "".join(r.choice("abcde") for _ in range(5))
+    shared = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join(word() for _ in range(40)) + line + (shared if i % 4 == 0 else "") + " ".join(word() for _ in range(40))) for i in range(40)]
+    rows += [(100 + i, line * 9 + word()) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (400, 150, 60):
+        assert sorted(map(tuple, repeat_report(df, length).collect()), key=str) == plain(rows, length)
