@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over consecutive tokens; its hash ignores the tokens at the mask's gaps. Equal seed hashes of a
-document and a benchmark item put the item's tokens on a diagonal of the document; along it the tokens are compared,
-and the best-scoring stretch is an overlap where it is long enough and agrees enough. Substituted tokens thus neither
-hide a hit (some mask skips them) nor an overlap.
+A seed is a fixed mask over consecutive tokens; its hash ignores the tokens at the mask's gaps. The hashes of items and
+texts are joined; an equal pair puts the item's tokens on a diagonal of the text. Along it the tokens are compared, and
+the best-scoring stretch is an overlap where it is long enough and agrees enough. Substituted tokens thus neither hide a
+hit (some mask skips them) nor an overlap. A bitmap of the items' hashes, of a fixed size, keeps most hashes of texts out
+of the join, and only texts with hits are shuffled for the comparison.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .kernels import lower_ascii, mix, prefix_hash, range_hash, text_chunks
-from .storage import bounded_batches, written
+from .repeats import keyed
+from .storage import bounded_batches, shared_if_small, sieve, sifted, written
 
 #: Masks over consecutive tokens (1: compared, 0: ignored), six compared tokens each.
 MASKS = ("111111", "1111011", "1101111", "11011011", "101110101", "1101001011", "10101010101")
 #: An overlap has at least this many tokens (or the whole item, if shorter) and this share of equal ones.
 MIN_TOKENS, MIN_SHARE = 12, 0.75
-#: Items with fewer tokens than a seed compares are too short to be evidence and are not searched.
-LEAST_ITEM = 6
-#: Tokens of benchmark items that one pass over the documents searches; a larger benchmark takes more passes.
-PASS_TOKENS = 400_000
+#: Items with fewer tokens than a mask compares have one seed, all their tokens.
+SEED_TOKENS = 6
+#: Bits of the bitmap of item hashes (4 MB, at most 524,288 words sent to the driver).
+BITMAP_BITS = 25
+#: Rows of item seeds (20 bytes each) broadcast at most; joined by a shuffle beyond.
+BROADCAST_SEEDS = 500_000
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -64,117 +68,124 @@ def best_overlap(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
-class Searcher:
-    """Seeds of one block of benchmark items, and the search for their overlaps in texts."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.first = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        self.tokens = np.concatenate([t for _, t in items]) if items else np.empty(0, np.uint64)
-        keys, item, place = [], [], []
-        for k, (_, tokens) in enumerate(items):
-            for mask in MASKS:
-                h = seed_hashes(tokens, mask)
-                keys.append(h)
-                item.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
-        keys, item, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, item, place))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order], item[order], place[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        if len(self.keys):
-            self.maybe[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item id, first token in the row, first token in the item, tokens, equal tokens) of the overlaps."""
-        tokens, first = token_hashes(data, offsets)
-        found = []
-        for mask in MASKS:
-            h = seed_hashes(tokens, mask)
-            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-            n = hi - lo
-            at, k = np.repeat(at, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row = np.searchsorted(first, at, "right") - 1
-            inside = at + len(mask) <= first[row + 1]
-            at, k, row = at[inside], k[inside], row[inside]
-            found.append(np.stack([row, self.item[k].astype(np.int64), at - self.place[k].astype(np.int64)], 1))
-        hits = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-        out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for row, item, diagonal in hits.tolist():
-            a, b = max(diagonal, int(first[row])), min(diagonal + int(self.first[item + 1] - self.first[item]), int(first[row + 1]))
-            own = self.first[item] + a - diagonal
-            equal = tokens[a:b] == self.tokens[own : own + b - a]
-            s, e = best_overlap(equal)
-            same = int(equal[s:e].sum())
-            if e - s >= min(MIN_TOKENS, int(self.first[item + 1] - self.first[item])) and same >= MIN_SHARE * (e - s):
-                best = out.get((row, item))
-                if best is None or same > best[3]:
-                    out[row, item] = (a + s - int(first[row]), a + s - diagonal, e - s, same)
-        return [(row, int(self.ids[item]), *v) for (row, item), v in out.items()]
-
-
-def searchers(benchmark: DataFrame) -> list[Searcher]:
-    """The items in blocks of at most PASS_TOKENS tokens, or one longer item. Equal texts are searched once, as the smallest item_id."""
-    rows = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).where("item_id is not null").orderBy("item_id")
-    out, block, size = [], [], 0
-    for r in rows.toLocalIterator():
-        data = np.frombuffer(r.text.encode(), np.uint8)
-        tokens, _ = token_hashes(data, np.array([0, len(data)]))
-        if len(tokens) < LEAST_ITEM:
-            continue
-        if block and size + len(tokens) > PASS_TOKENS:
-            out.append(Searcher(block))
-            block, size = [], 0
-        block.append((r.item_id, tokens))
-        size += len(tokens)
-    return [*out, Searcher(block)] if block else out
+def _masks(lengths) -> list[str]:
+    return [*MASKS, *("1" * n for n in sorted(lengths) if n < SEED_TOKENS)]
+
+
+def _item_seeds(batches):
+    """(item_id, text) to (item_id, tokens as raw hashes, its seeds)."""
+    for batch in batches:
+        raw, seeds = [], []
+        for text in batch.column(1).to_pylist():
+            data = np.frombuffer(text.encode(), np.uint8)
+            tokens = token_hashes(data, np.array([0, len(data)]))[0]
+            raw.append(tokens.astype("<u8").tobytes())
+            masks = MASKS if len(tokens) >= SEED_TOKENS else ["1" * len(tokens)] if len(tokens) else []
+            seeds.append([{"hash": h, "place": k} for m in masks for k, h in enumerate(seed_hashes(tokens, m).view(np.int64).tolist())])
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(seeds, kind)], ["item_id", "tokens", "seeds"])
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The bitmap of the low BITMAP_BITS bits of all hashes, as bytes."""
+    low = f"(hash & {(1 << BITMAP_BITS) - 1}L)"
+    words = seeds.select(F.expr(f"shiftright({low}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({low} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
+    for r in words.toLocalIterator():
+        out[r.word] = r.bits
+    return out.view(np.uint8)
+
+
+def _candidates(bitmap: np.ndarray, masks: list[str]):
+    """(key, text) to (key, hash, place) of the seeds whose hash may be an item's."""
+
+    def run(batches):
+        maybe = np.unpackbits(bitmap, bitorder="little").view(bool)
+        low = np.uint64((1 << BITMAP_BITS) - 1)
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                tokens, first = token_hashes(data, offsets)
+                hashes, rows, places = [], [], []
+                for mask in masks:
+                    h = seed_hashes(tokens, mask)
+                    at = np.flatnonzero(maybe[(h & low).astype(np.int64)])
+                    row = np.searchsorted(first, at, "right") - 1
+                    inside = at + len(mask) <= first[row + 1]
+                    at, row = at[inside], row[inside]
+                    hashes.append(h[at])
+                    rows.append(row)
+                    places.append(at - first[row])
+                hashes, rows, places = (np.concatenate(x) for x in (hashes, rows, places))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(hashes.view(np.int64)), pa.array(places.astype(np.int32))], ["key", "hash", "place"])
+
+    return run
+
+
+def _compared(batches):
+    """(doc_id, text, hits: (item_id, diagonal, tokens)) to the largest overlap of each item (OVERLAP_SCHEMA)."""
+    for batch in batches:
+        out = []
+        for doc_id, text, hits in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            data = np.frombuffer(text.encode(), np.uint8)
+            tokens, best = token_hashes(data, np.array([0, len(data)]))[0], {}
+            for hit in sorted(hits, key=lambda h: (h["item_id"], h["diagonal"])):
+                item, diagonal = np.frombuffer(hit["tokens"], "<u8"), hit["diagonal"]
+                a, b = max(diagonal, 0), min(diagonal + len(item), len(tokens))
+                equal = tokens[a:b] == item[a - diagonal : b - diagonal]
+                s, e = best_overlap(equal)
+                same = int(equal[s:e].sum())
+                if e - s >= min(MIN_TOKENS, len(item)) and same >= MIN_SHARE * (e - s):
+                    if hit["item_id"] not in best or same > best[hit["item_id"]][3]:
+                        best[hit["item_id"]] = (a + s, a + s - diagonal, e - s, same)
+            out += [(doc_id, item, *v) for item, v in best.items()]
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "doc_token", "item_token", "n_tokens", "n_equal"])
 
 
 OVERLAP_SCHEMA = "doc_id long, item_id long, doc_token long, item_token long, n_tokens long, n_equal long"
 
 
+def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, hits) of the texts of ``docs`` (keyed) whose seeds meet an item's, and ``docs`` where the key may be one of them."""
+    items = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).where("item_id is not null")
+    items = written(items.select("item_id", "text").mapInArrow(_item_seeds, "item_id long, tokens binary, seeds array<struct<hash: long, place: int>>"), "leak-items")
+    seeds = written(items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.hash", F.col("s.place").alias("item_place")), "leak-seeds")
+    short = [r.n for r in items.select(F.expr("cast(octet_length(tokens) / 8 as int)").alias("n")).where(F.col("n").between(1, SEED_TOKENS - 1)).distinct().collect()]
+    met = docs.select("key", "text").mapInArrow(_candidates(_bitmap(seeds), _masks(short)), "key binary, hash long, place int")
+    hits = met.join(shared_if_small(seeds, BROADCAST_SEEDS), "hash").select("key", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
+    hits = written(hits, "leak-hits").join(items.select("item_id", "tokens"), "item_id")
+    hits = written(hits.groupBy("key").agg(F.collect_list(F.struct("item_id", "diagonal", "tokens")).alias("hits")), "leak-texts")
+    return hits, sifted(docs, "key", sieve(hits, "key"))[0]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_token, item_token, n_tokens, n_equal: the largest overlap of each document and item that share one.
 
-    Null and empty texts, and items under LEAST_ITEM tokens, have none. Repeated rows report each; ties between
-    places take the first. An empty table on either side: no rows. Documents are read once for each block of items.
+    Null and empty texts and items without tokens have none; an item under SEED_TOKENS tokens overlaps where all of it
+    stands. Equal item texts are one, as the smallest item_id. Repeated rows report each; ties between places take the
+    first. An empty table on either side: no rows. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def finder(searcher):
-        def run(batches):
-            for batch in batches:
-                for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                    found = sorted(searcher.search(data, offsets))
-                    columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(6)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(columns[0]), *columns[1:]], ["doc_id", "item_id", "doc_token", "item_token", "n_tokens", "n_equal"])
-
-        return run
-
-    out = docs.sparkSession.createDataFrame([], OVERLAP_SCHEMA)
-    parts = [rows.mapInArrow(finder(s), OVERLAP_SCHEMA) for s in searchers(benchmark)]
-    for k, p in enumerate(parts):
-        out = out.union(p) if k else p
-    return out
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    hits, met = _matches(rows, benchmark)
+    return met.join(hits, "key").select("doc_id", "text", "hits").mapInArrow(_compared, OVERLAP_SCHEMA)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap an item; row by row, all columns as they are."""
+    """``docs`` without the rows that overlap an item of SEED_TOKENS tokens at least: shorter ones are no evidence. All columns as they are."""
     bounded_batches(docs.sparkSession)
     names = docs.columns
-
-    def keeper(searcher):
-        def run(batches):
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                for lo, _, data, offsets in text_chunks(batch.column(names.index("text"))):
-                    keep[[lo + f[0] for f in searcher.search(data, offsets)]] = False
-                yield batch.filter(pa.array(keep))
-
-        return run
-
-    for k, s in enumerate(searchers(benchmark)):
-        docs = (written(docs, "clean") if k else docs).mapInArrow(keeper(s), docs.schema)
-    return docs
+    rows = keyed(docs.select("text", F.lit(None).cast("long").alias("doc_id"), F.struct(*names).alias("__row")))  # clashing names stay apart
+    hits, met = _matches(rows, benchmark)
+    # A text is compared once, whatever the number of its copies: its key tells it.
+    one = met.select("key", "text").dropDuplicates(["key"]).join(hits, "key")
+
+    def leaking(batches):
+        for batch in batches:
+            keep = [any(f["n_tokens"] >= SEED_TOKENS for r in _compared([pa.RecordBatch.from_arrays([pa.array([0]), batch.column(1).slice(k, 1), batch.column(2).slice(k, 1)], ["doc_id", "text", "hits"])]) for f in r.to_pylist()) for k in range(len(batch))]
+            yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
+
+    leaks = written(one.select("key", "text", "hits").mapInArrow(leaking, "key binary"), "leaks")
+    maybe, clean = sifted(rows, "key", sieve(leaks, "key"))
+    kept = maybe.join(leaks, "key", "left_anti").select("__row").union(clean.select("__row"))
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in names])
