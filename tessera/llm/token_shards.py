@@ -4,10 +4,11 @@ Shard file: 16 bytes header (magic "TSHARD1\\0", id width as uint32, zero), the
 (little-endian, 2 bytes where the vocabulary allows it, else 4), then the footer: the document bounds as uint64
 (one more than documents), the number of documents and the footer's own magic.
 
-Index: keys are dealt to buckets by hash; each bucket holds a minimal perfect hash (levels of bit arrays, a key
-stays at the first level where it is alone) and, at the slot of each key, a 32-bit fingerprint and the key's place
-(shard, first document in it, number of documents with the key). A lookup costs one slot computation, one
-fingerprint comparison and one range read, whatever the number of keys.
+Index file, one for each bucket of keys: a minimal perfect hash (levels of bit arrays, a key stays at the first level
+where it is alone; each block of 512 bits has a stored rank, the number of keys before it) and, at the slot of each key,
+a 32-bit fingerprint and the key's place (shard, first document in it, number of documents with the key). A lookup reads
+a 64-byte block and its rank for each level tried (under two on average), one entry, and one range of the shard, whatever
+the number of keys.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import cached_bpe
 from .kernels import mix
-from .storage import bounded_batches, fresh_path, open_fs, put_atomic, written
+from .storage import bounded_batches, fresh_path, open_fs, put_atomic, shared_if_small, written
 
-MAGIC, END_MAGIC = b"TSHARD1\0", b"TSHEND1\0"
+MAGIC, END_MAGIC, INDEX_MAGIC = b"TSHARD1\0", b"TSHEND1\0", b"TSINDX1\0"
 #: Keys per index bucket, about; a bucket is built and searched in one task.
 BUCKET_KEYS = 50_000
 LEVELS = 48
+#: Bits of a rank block, in words of 64.
+BLOCK_WORDS = 8
+#: Shards whose starts are broadcast at most (16 bytes each); joined by a shuffle beyond.
+BROADCAST_SHARDS = 500_000
 ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("copies", "<u4")])
 
 
@@ -133,15 +138,36 @@ def build_mphf(hashes: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def mphf_slots(levels: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """Slot of each hash in 0..n-1; -1 for one that no level holds."""
-    out, todo, base = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), 0
-    for k, bits in enumerate(levels):
-        at = _slots(hashes[todo], k, len(bits))
-        rank = np.cumsum(bits) - 1
-        hit = bits[at]
-        out[todo[hit]] = base + rank[at[hit]]
-        todo, base = todo[~hit], base + int(bits.sum())
+def ranked(levels: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(bits of the level, its bits in words, keys before each block of BLOCK_WORDS words, those of earlier levels included)."""
+    out, base = [], 0
+    for bits in levels:
+        blocks = -(-len(bits) // (64 * BLOCK_WORDS))
+        words = np.packbits(np.pad(bits, (0, blocks * 64 * BLOCK_WORDS - len(bits))), bitorder="little").view("<u8")
+        ends = np.cumsum(np.bitwise_count(words).reshape(-1, BLOCK_WORDS).sum(1, dtype=np.int64))
+        out.append((len(bits), words, (base + ends - np.diff(ends, prepend=0)).astype("<u4")))
+        base += int(ends[-1])
+    return out
+
+
+def mphf_slots(levels: list[tuple[int, np.ndarray, np.ndarray]], hashes: np.ndarray) -> np.ndarray:
+    """Slot of each hash in 0..n-1 by the ``ranked`` levels; -1 for one that no level holds."""
+    out, todo = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+    for k, (size, words, ranks) in enumerate(levels):
+        at = _slots(hashes[todo], k, size)
+        hit = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        mine = at[hit]
+        block = mine // (64 * BLOCK_WORDS)
+        inside = words.reshape(-1, BLOCK_WORDS)[block]
+        # Of the block, the bits before the key's own: whole words, and the low part of its word.
+        word = (mine >> 6) % BLOCK_WORDS
+        place = np.arange(BLOCK_WORDS)
+        low = (np.uint64(1) << (mine & 63).astype(np.uint64)) - np.uint64(1)
+        mask = np.where(place < word[:, None], ~np.uint64(0), np.where(place == word[:, None], low[:, None], np.uint64(0)))
+        out[todo[hit]] = ranks[block].astype(np.int64) + np.bitwise_count(inside & mask).sum(1, dtype=np.int64)
+        todo = todo[~hit]
+        if not len(todo):
+            break
     return out
 
 
@@ -149,8 +175,60 @@ def key_hash(keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0xA0761D6478BD642F))
 
 
-def build_index(manifest: DataFrame) -> DataFrame:
-    """bucket, sizes, bits, entries: one row for each bucket of distinct non-null keys (documents with a null key are in no index)."""
+def index_uri(path: str, bucket: int) -> str:
+    return f"{path}/index-{bucket:08d}.mph"
+
+
+class IndexFile:
+    """One bucket's index by range reads; the head (sizes of the levels) is read once."""
+
+    def __init__(self, uri: str):
+        fs, path = open_fs(uri)
+        self.file = fs.open_input_file(path)
+        head = self.file.read_at(16, 0)
+        if head[:8] != INDEX_MAGIC:
+            raise ValueError(f"{uri} is no index")
+        sizes = np.frombuffer(self.file.read_at(8 * struct.unpack("<Q", head[8:])[0], 16), "<u8").astype(int).tolist()
+        at, self.levels = 16 + 8 * len(sizes), []
+        for size in sizes:
+            blocks = -(-size // (64 * BLOCK_WORDS))
+            self.levels.append((size, at, at + 8 * BLOCK_WORDS * blocks, blocks))
+            at += (8 * BLOCK_WORDS + 4) * blocks
+        self.entries_at, self.entries = at, (self.file.size() - at) // ENTRY.itemsize
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of many keys are held, their entries): the levels are read whole, once."""
+        h = key_hash(keys)
+        read = lambda at, n, kind: np.frombuffer(self.file.read_at(n, at), kind)
+        levels = [(size, read(words, 8 * BLOCK_WORDS * blocks, "<u8"), read(ranks, 4 * blocks, "<u4")) for size, words, ranks, blocks in self.levels]
+        entries = read(self.entries_at, ENTRY.itemsize * self.entries, ENTRY)
+        slot = mphf_slots(levels, h)
+        ok = slot >= 0
+        ok[ok] = entries["fingerprint"][slot[ok]] == (h[ok] >> np.uint64(32)).astype(np.uint32)
+        return ok, entries[slot[ok]]
+
+    def get(self, key: int):
+        """The entry of one key, or None: reads a block and a rank for each level tried, and one entry."""
+        h = key_hash(np.array([key], np.int64))
+        for k, (size, words, ranks, _) in enumerate(self.levels):
+            at = int(_slots(h, k, size)[0])
+            block, inside = divmod(at, 64 * BLOCK_WORDS)
+            bits = int.from_bytes(self.file.read_at(8 * BLOCK_WORDS, words + 8 * BLOCK_WORDS * block), "little")
+            if bits >> inside & 1:
+                slot = struct.unpack("<I", self.file.read_at(4, ranks + 4 * block))[0] + (bits & (1 << inside) - 1).bit_count()
+                entry = np.frombuffer(self.file.read_at(ENTRY.itemsize, self.entries_at + ENTRY.itemsize * slot), ENTRY)[0]
+                return entry if entry["fingerprint"] == int(h[0] >> np.uint64(32)) else None
+        return None
+
+    def close(self):
+        self.file.close()
+
+
+def build_index(manifest: DataFrame, path: str) -> int:
+    """Write an index file beside the shards for each bucket of distinct non-null keys; returns the number of buckets.
+
+    Documents with a null key are in no index.
+    """
     keyed = manifest.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("shard", "ordinal")).alias("at"), F.count(F.lit(1)).alias("copies"))
     keyed = keyed.select("doc_id", "at.shard", "at.ordinal", "copies")
     buckets = max(1, -(-manifest.count() // BUCKET_KEYS))
@@ -159,48 +237,39 @@ def build_index(manifest: DataFrame) -> DataFrame:
         import pandas as pd
 
         h = key_hash(pdf.doc_id.to_numpy())
-        levels = build_mphf(h)
+        levels = ranked(build_mphf(h))
         entries = np.zeros(len(pdf), ENTRY)
         slot = mphf_slots(levels, h)
         entries["fingerprint"][slot] = (h >> np.uint64(32)).astype(np.uint32)
         for name, column in (("shard", "shard"), ("first", "ordinal"), ("copies", "copies")):
             entries[name][slot] = pdf[column].to_numpy()
-        return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "sizes": [[len(x) for x in levels]], "bits": [b"".join(np.packbits(x).tobytes() for x in levels)], "entries": [entries.tobytes()]})
+        bucket = int(pdf.bucket.iloc[0])
+        parts = [INDEX_MAGIC, struct.pack("<Q", len(levels)), np.array([n for n, _, _ in levels], "<u8").tobytes()]
+        parts += [x.tobytes() for _, words, ranks in levels for x in (words, ranks)] + [entries.tobytes()]
+        put_atomic(index_uri(path, bucket), lambda out: [out.write(x) for x in parts])
+        return pd.DataFrame({"bucket": [bucket]})
 
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    return written(keyed.groupBy("bucket").applyInPandas(build, "bucket long, sizes array<long>, bits binary, entries binary"), "token-index").withColumn("buckets", F.lit(buckets))
+    written(keyed.groupBy("bucket").applyInPandas(build, "bucket long"), "token-index")
+    return buckets
 
 
-def _levels(sizes, bits: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    for size in sizes:
-        n = -(-int(size) // 8)
-        out.append(np.unpackbits(np.frombuffer(bits, np.uint8, n, at), count=int(size)).astype(bool))
-        at += n
-    return out
-
-
-def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
+def lookup(path: str, buckets: int, keys: DataFrame) -> DataFrame:
     """doc_id, shard, first, copies of each distinct key of ``keys`` (doc_id) that the index holds; a fingerprint mismatch drops a key."""
-    buckets = index.select("buckets").first()
-    n = buckets[0] if buckets else 1
 
-    def find(keys, index):
+    def find(pdf):
         import pandas as pd
 
-        if index.empty or keys.empty:
+        try:
+            index = IndexFile(index_uri(path, int(pdf.bucket.iloc[0])))
+        except FileNotFoundError:  # a bucket without keys
             return pd.DataFrame({"doc_id": [], "shard": [], "first": [], "copies": []})
-        row = index.iloc[0]
-        h = key_hash(keys.doc_id.to_numpy())
-        entries = np.frombuffer(row.entries, ENTRY)
-        slot = mphf_slots(_levels(row.sizes, row.bits), h)
-        ok = slot >= 0
-        ok[ok] = entries["fingerprint"][slot[ok]] == (h[ok] >> np.uint64(32)).astype(np.uint32)
-        e = entries[slot[ok]]
-        return pd.DataFrame({"doc_id": keys.doc_id.to_numpy()[ok], "shard": e["shard"].astype(np.int32), "first": e["first"].astype(np.int64), "copies": e["copies"].astype(np.int64)})
+        ok, e = index.find(pdf.doc_id.to_numpy())
+        index.close()
+        return pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[ok], "shard": e["shard"].astype(np.int32), "first": e["first"].astype(np.int64), "copies": e["copies"].astype(np.int64)})
 
-    asked = keys.select("doc_id").where("doc_id is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    return asked.groupBy("bucket").cogroup(index.drop("buckets").groupBy("bucket")).applyInPandas(find, "doc_id long, shard int, first long, copies long")
+    asked = keys.select("doc_id").where("doc_id is not null").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    return asked.groupBy("bucket").applyInPandas(find, "doc_id long, shard int, first long, copies long")
 
 
 def read_documents(path: str, found: DataFrame, shard_starts: DataFrame) -> DataFrame:
@@ -219,18 +288,25 @@ def read_documents(path: str, found: DataFrame, shard_starts: DataFrame) -> Data
         reader.close()
         return pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = found.join(F.broadcast(shard_starts), "shard")
+    placed = found.join(shared_if_small(shard_starts, BROADCAST_SHARDS), "shard")
     return placed.groupBy("shard").applyInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def shard_starts(manifest: DataFrame) -> DataFrame:
-    """shard, shard_start: tokens of all shards before. Rows: one for each shard file, whose number is that of the range partitions."""
-    totals = sorted((r.shard, r.n) for r in manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    rows, at = [], 0
-    for shard, n in totals:
-        rows.append((shard, at))
-        at += n
-    return manifest.sparkSession.createDataFrame(rows, "shard int, shard_start long")
+def shard_starts(path: str, shards: DataFrame) -> DataFrame:
+    """shard, shard_start of ``shards`` (shard): the tokens of all shards before, from the files' footers. One row for each file."""
+
+    def read(batches):
+        for batch in batches:
+            totals = []
+            for shard in batch.column(0).to_pylist():
+                reader = ShardReader(shard_uri(path, shard))
+                totals.append(int(reader.bounds[-1]))
+                reader.close()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], ["shard", "n"])
+
+    totals = written(shards.select("shard").distinct().mapInArrow(read, "shard int, n long"), "token-totals")
+    before = F.sum("n").over(Window.orderBy("shard")) - F.col("n")
+    return written(totals.select("shard", before.alias("shard_start")), "token-starts")
 
 
 def token_shards_roundtrip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -242,5 +318,5 @@ def token_shards_roundtrip(docs: DataFrame, tokenizer: str, end_id: int) -> Data
     bounded_batches(docs.sparkSession)
     path = fresh_path(docs.sparkSession, "token-shards")
     manifest = write_token_shards(docs, path, tokenizer, end_id)
-    found = lookup(build_index(manifest), manifest)
-    return read_documents(path, found, shard_starts(manifest))
+    found = lookup(path, build_index(manifest, path), manifest)
+    return read_documents(path, found, shard_starts(path, manifest))

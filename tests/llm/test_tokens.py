@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from tessera.llm.bpe import cached_bpe
 from tessera.llm.packing import CapacityTree, pack, plan_best_fit
 from tessera.llm.token_counts import token_counts
-from tessera.llm.token_shards import build_mphf, key_hash, mphf_slots, token_shards_roundtrip
+from tessera.llm.token_shards import IndexFile, build_index, build_mphf, index_uri, key_hash, mphf_slots, ranked, token_shards_roundtrip
 
 NAME = "byte_bpe_50k.json"
 TEXTS = [
@@ -63,10 +63,24 @@ def test_shards_roundtrip(spark):
 
 def test_mphf_is_minimal_and_perfect():
     h = key_hash(np.arange(20_000) * 7 - 5)
-    levels = build_mphf(h)
+    levels = ranked(build_mphf(h))
     assert sorted(mphf_slots(levels, h).tolist()) == list(range(20_000))
 
 
+def test_index_file(spark, tmp_path):
+    """One key at a time and all at once give the same entries; keys that are not there are not found."""
+    path = f"file://{tmp_path}"
+    manifest = spark.createDataFrame([(k * 3 - 40, k % 5, k // 5, 1) for k in range(3000)] + [(None, 9, 9, 1)], "doc_id long, shard int, ordinal long, n_tokens long")
+    assert build_index(manifest, path) == 1
+    index = IndexFile(index_uri(path, 0))
+    assert index.entries == 3000
+    ok, found = index.find(np.arange(3000) * 3 - 40)
+    assert ok.all() and [(e["shard"], e["first"], e["copies"]) for e in found] == [(k % 5, k // 5, 1) for k in range(3000)]
+    for k in (0, 7, 2999):
+        assert (index.get(k * 3 - 40)["shard"], index.get(k * 3 - 40)["first"]) == (k % 5, k // 5)
+    assert index.get(1) is None and not index.find(np.array([1, 3, 4]))[0].any()
+
+
 def test_tree_finds_tightest():
     tree = CapacityTree(16)
     for c in (3, 9, 12):
