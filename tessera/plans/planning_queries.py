@@ -33,7 +33,6 @@ SQL = {
     "aud_02_latent_credit": "WITH x AS (SELECT DISTINCT l_orderkey AS outing_id, l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'R'), k AS (SELECT DISTINCT l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'A') SELECT o.outing_id, CASE WHEN o.outing_id % 41 = 0 THEN 'missing_gpx' WHEN count(x.seg_id) = 0 THEN 'passed' WHEN bool_and(k.seg_id IS NOT NULL) THEN 'reconciled' ELSE 'needs_repair' END AS verdict FROM @outings() o LEFT JOIN x ON x.outing_id = o.outing_id LEFT JOIN k ON k.seg_id = x.seg_id GROUP BY o.outing_id",
     "aud_03_route_repeats": "SELECT l_orderkey AS outing_id, count(*) - count(DISTINCT l_partkey) AS repeats, count(DISTINCT l_partkey) AS segments FROM lineitem GROUP BY l_orderkey",
     "aud_04_walkthrough": "SELECT track_id, CAST(sum(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS BIGINT) AS unmatched, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS unnamed, bool_and(value >= 1) AS passed FROM @track() t GROUP BY track_id",
-    "aud_05_official_coverage": "WITH n AS (SELECT c.outing_id, count(*) AS n, sum(CASE WHEN c.seg_id % 5 > 0 THEN 1 ELSE 0 END) AS covered FROM @claims() c GROUP BY c.outing_id) SELECT outing_id, @q(covered / CAST(n AS DOUBLE),1e3) AS ratio, covered >= n * 85e-2 AS passed FROM n",
     "aud_06_requirements": "SELECT 'targets' AS gate, count(*) > 0 AS passed FROM @segments() s UNION ALL SELECT 'every_outing_claims', NOT EXISTS (SELECT 1 FROM @outings() o WHERE o.outing_id NOT IN (SELECT outing_id FROM @claims() c)) UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT seg_id) FROM @segments() s UNION ALL SELECT 'no_negative_minutes', min(minutes) >= 0 FROM @outings() o",
     "aud_07_route_efficiency": "SELECT outing_id, CASE WHEN foot_miles > 15 THEN 'too_long' WHEN minutes > 300 THEN 'too_slow' WHEN route_status = 'draft' THEN 'unproven' ELSE 'efficient' END AS verdict FROM @outings() o",
     "aud_08_special_management": "SELECT c.outing_id, s.direction, count(*) AS n FROM @claims() c JOIN @segments() s ON s.seg_id = c.seg_id WHERE s.direction = 'ascent' AND c.outing_id % 2 = 1 GROUP BY c.outing_id, s.direction",

@@ -12,8 +12,6 @@ SQL = {
     "join_08_bbox_semi": "SELECT s.seg_id FROM @segments() s WHERE EXISTS (SELECT 1 FROM @anchors() a WHERE abs(a.lon - s.lon) <= 1e-2 AND abs(a.lat - s.lat) <= 1e-2)",
     "join_10_match_confidence": "SELECT tier, count(*) AS n FROM (SELECT @match_confidence(@haversine_miles(a.lon,a.lat,s.lon,s.lat) / 40,(s.seg_id % 100) / 1e2) AS tier FROM @anchors() a JOIN @segments() s ON s.seg_id % 10 = a.anchor_id % 10) x GROUP BY tier",
     "join_11_orientation_match": "WITH d AS (SELECT a.anchor_id, s.seg_id, least(@haversine_miles(a.lon,a.lat,s.lon,s.lat), @haversine_miles(a.lon,a.lat,s.lon + 1e-2,s.lat)) + CASE WHEN s.seg_id % 10 = a.anchor_id % 10 THEN 0e0 ELSE 5e-1 END AS score FROM @anchors() a JOIN @segments() s ON abs(a.lat - s.lat) < 4e-2) SELECT anchor_id, seg_id FROM (SELECT anchor_id, seg_id, row_number() OVER (PARTITION BY anchor_id ORDER BY @q(score,1e6), seg_id) AS r FROM d) x WHERE r = 1",
-    "join_12_coverage_match": "WITH p AS (SELECT seg_id, k, lon + k * 2e-3 AS lon, lat FROM (SELECT seg_id, lon, lat, @series(CAST(0 AS BIGINT), CAST(4 AS BIGINT)) AS k FROM @segments() s) x), t AS (SELECT track_id, lon, lat, @floor(lon * 50) AS cx, @floor(lat * 50) AS cy FROM @track() t), c AS (SELECT seg_id, k, lon, lat, @floor(lon * 50) + dx AS cx, @floor(lat * 50) + dy AS cy FROM p CROSS JOIN (SELECT -1 AS dx UNION ALL SELECT 0 UNION ALL SELECT 1) i CROSS JOIN (SELECT -1 AS dy UNION ALL SELECT 0 UNION ALL SELECT 1) j), m AS (SELECT c.seg_id, t.track_id, c.k, min(@haversine_miles(c.lon,c.lat,t.lon,t.lat)) AS d FROM c JOIN t ON t.cx = c.cx AND t.cy = c.cy GROUP BY c.seg_id, t.track_id, c.k) SELECT seg_id, track_id, CAST(sum(CASE WHEN d <= 1e0 THEN 1 ELSE 0 END) AS BIGINT) AS near FROM m GROUP BY seg_id, track_id HAVING sum(CASE WHEN d <= 1e0 THEN 1 ELSE 0 END) >= 3",
-    "join_13_completion_review": "WITH m AS (SELECT c.outing_id, c.seg_id, (c.seg_id * 13 % 101) / 1e2 AS fraction, (c.outing_id * 7 % 50) / 1e3 AS a, (c.seg_id * 11 % 50) / 1e3 AS b, CASE WHEN c.seg_id % 11 > 0 THEN true WHEN c.outing_id % 3 = 0 THEN NULL ELSE c.outing_id % 3 = 1 END AS ok FROM @claims() c) SELECT status, count(*) AS n FROM (SELECT @review_status(fraction,a,b,35e-3,45e-3,ok) AS status FROM m) x GROUP BY status",
     "join_14_candidates_or_planned": "SELECT s.seg_id, s.seg_id IN (SELECT seg_id FROM @claims() c WHERE outing_id % 50 = 0) AS planned FROM @segments() s WHERE s.seg_id IN (SELECT seg_id FROM @claims() c WHERE outing_id % 50 = 0) OR @boxes_meet(s.lon,s.lat,s.lon,s.lat,-1163e-1,435e-1,-1162e-1,436e-1,1e-2,1e-2)",
     "join_15_edge_preference": f"WITH d AS (SELECT a.anchor_id, s.seg_id, s.direction, {_NEAR} AS d FROM @anchors() a JOIN @segments() s ON abs(a.lon - s.lon) < 3e-2 AND abs(a.lat - s.lat) < 3e-2), b AS (SELECT anchor_id, seg_id, direction, d, min(d) OVER (PARTITION BY anchor_id) AS best FROM d) SELECT anchor_id, seg_id FROM (SELECT anchor_id, seg_id, row_number() OVER (PARTITION BY anchor_id ORDER BY CASE WHEN seg_id % 5 = 0 THEN 0 ELSE 1 END, direction, d, seg_id) AS r FROM b WHERE d <= best + 500000) x WHERE r = 1",
     "join_16_match_groups": "WITH f AS (SELECT track_id, idx, event_type, value, CASE WHEN lag(event_type) OVER (PARTITION BY track_id ORDER BY idx) = event_type THEN 0 ELSE 1 END AS new FROM @track() t), g AS (SELECT track_id, event_type, value, idx, sum(new) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM f) SELECT track_id, CAST(grp AS BIGINT) AS grp, min(event_type) AS edge, @q(sum(value),1e2) AS miles FROM g GROUP BY track_id, grp",
