@@ -295,7 +295,6 @@ _cover("opt_04_objective_cover", lambda c, t: K.exact_cover_min_cost({k: (s, 1.0
 _cover("opt_12_fewest_days", lambda c, t: K.exact_cover_min_cost({k: (s, 1.0) for k, (s, _) in c.items()}, t))
 _cover("opt_13_greedy_max_coverage", lambda c, t: (K.greedy_cover(c, t, by_ratio=False)[0], False))
 _cover("opt_14_greedy_ratio_cover", lambda c, t: (K.greedy_cover(c, t)[0], False))
-_cover("opt_05_day_type_cover", lambda c, t: K.exact_cover_min_cost({k: (s, w + 1000 * (k % 7 >= 5)) for k, (s, w) in c.items()}, t))
 
 
 def _bounded(c, t):
