@@ -100,7 +100,6 @@ def _candidates(bitmap: np.ndarray, masks: list[str]):
     """(key, text) to (key, hash, place) of the seeds whose hash may be an item's."""
 
     def run(batches):
-        maybe = np.unpackbits(bitmap, bitorder="little").view(bool)
         low = np.uint64((1 << BITMAP_BITS) - 1)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
@@ -108,7 +107,8 @@ def _candidates(bitmap: np.ndarray, masks: list[str]):
                 hashes, rows, places = [], [], []
                 for mask in masks:
                     h = seed_hashes(tokens, mask)
-                    at = np.flatnonzero(maybe[(h & low).astype(np.int64)])
+                    bit = h & low
+                    at = np.flatnonzero(bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
                     row = np.searchsorted(first, at, "right") - 1
                     inside = at + len(mask) <= first[row + 1]
                     at, row = at[inside], row[inside]
@@ -125,7 +125,8 @@ def _compared(batches):
     """(doc_id, text, hits: (item_id, diagonal, tokens)) to the largest overlap of each item (OVERLAP_SCHEMA)."""
     for batch in batches:
         out = []
-        for doc_id, text, hits in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for row in zip(*(batch.column(k) for k in range(3)), strict=True):
+            doc_id, text, hits = (x.as_py() for x in row)
             data = np.frombuffer(text.encode(), np.uint8)
             tokens, best = token_hashes(data, np.array([0, len(data)]))[0], {}
             for hit in sorted(hits, key=lambda h: (h["item_id"], h["diagonal"])):

@@ -99,14 +99,14 @@ def _matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
     return np.frombuffer(data, kind).reshape(len(column), -1)
 
 
-def _branches(keys: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(child keys, index of the parent row): node ``keys[i]`` picks one coordinate, and a second one with probability 1/threshold - 1."""
+def _branches(keys: np.ndarray, sketch: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(child keys, index of the parent): node ``keys[i]``, of sketch ``row[i]``, picks one coordinate, and a second one with probability 1/threshold - 1."""
     out, rows = [], []
     for k in range(2):
         r = mix(keys + np.uint64(0xA24BAED4963EE407 * (k + 1) % (1 << 64)))
         pick = np.arange(len(keys)) if not k else np.flatnonzero((r >> np.uint64(32)) % np.uint64(10_000) < np.uint64(10_000 * (1 / threshold - 1)))
         c = (r[pick] % np.uint64(COORDINATES)).astype(np.int64)
-        out.append(mix(keys[pick] * np.uint64(0x9FB21C651E98DF25) + (c.astype(np.uint64) << np.uint64(32)) + sketch[pick, c] + np.uint64(1)))
+        out.append(mix(keys[pick] * np.uint64(0x9FB21C651E98DF25) + (c.astype(np.uint64) << np.uint64(32)) + sketch[row[pick], c] + np.uint64(1)))
         rows.append(pick)
     return np.concatenate(out), np.concatenate(rows)
 
@@ -120,7 +120,7 @@ def _grower(depth: int, threshold: float, from_root: bool):
             row = np.arange(len(batch)) if not from_root else np.tile(np.arange(len(batch)), TREES)
             keys = batch.column(2).to_numpy().view(np.uint64) if not from_root else mix(np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(batch)) * np.uint64(0xE7037ED1A0B428DB))
             for _ in range(depth):
-                keys, parent = _branches(keys, sketch[row], threshold)
+                keys, parent = _branches(keys, sketch, row, threshold)
                 row = row[parent]
             # Two ways to one node within a batch are one.
             both = np.unique(np.stack([keys.view(np.int64), row], 1), axis=0) if len(keys) else np.empty((0, 2), np.int64)

@@ -142,7 +142,7 @@ def _context_bytes(length: int):
 
     def run(batches):
         for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, wanted in zip(batch.column(0), (x.as_py() for x in batch.column(1)), strict=True):
                 data = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["context"] for w in wanted], pa.int64()), pa.array([w["before"] for w in wanted], pa.int32()), pa.array([w["more"] for w in wanted], pa.int32()), pa.array([data[w["start"] : w["start"] + w["more"] + length] for w in wanted], pa.binary())],
@@ -353,7 +353,7 @@ def repeat_report(docs: DataFrame, length: int = 400) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(*((x.as_py() for x in batch.column(k)) for k in (1, 2)), strict=True):
                 kept, gone = _cut(text, spans)
                 out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True)) or [[]] * 4
@@ -371,7 +371,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = batch.schema.names.index("text")
-            texts = [_cut(t.encode(), s)[0].decode("utf-8", "ignore") if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            texts = [_cut(t.encode(), s)[0].decode("utf-8", "ignore") if s else t for t, s in zip(*((x.as_py() for x in batch.column(k)) for k in (at, len(names))), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
 
     hidden = docs.select(F.col("doc_id"), F.col("text"), F.struct(*names).alias("__row"))  # clashing names stay apart
