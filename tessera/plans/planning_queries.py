@@ -22,7 +22,7 @@ SQL = {
     "stm_01_ledger_upsert": "SELECT epoch, day_id, event_id, kind FROM (SELECT epoch, day_id, event_id, kind, row_number() OVER (PARTITION BY epoch, day_id, user_id ORDER BY event_id DESC) AS r FROM @ledger() l) x WHERE r = 1",
     "stm_02_fold_to_state": "SELECT seg_id, CASE WHEN bool_or(kind = 'blocked') THEN 'blocked' WHEN bool_or(kind = 'completed') THEN 'completed' ELSE 'missed' END AS state FROM @ledger() l GROUP BY seg_id",
     "stm_03_baseline_lock": "SELECT epoch, day_id FROM (SELECT epoch, day_id, row_number() OVER (PARTITION BY epoch ORDER BY day_id, event_id) AS r FROM @ledger() l) x WHERE r = 1",
-    "stm_04_epoch_reset": "SELECT kind, count(*) AS n FROM @ledger() l WHERE NOT (epoch = '2024-01' AND day_id % 2 = 0) OR kind = 'blocked' GROUP BY kind",
+    "stm_04_epoch_reset": "SELECT kind, count(*) AS n FROM @ledger() l WHERE epoch <> '2024-01' OR kind <> 'completed' GROUP BY kind",
     "stm_06_recertification_trigger": "SELECT epoch, bool_or(kind IN ('completed', 'missed', 'blocked')) AS needed FROM @ledger() l GROUP BY epoch",
     "stm_07_replace_duplicates": "SELECT day_id, user_id, max(event_id) AS event_id, count(*) AS replaced FROM @ledger() l GROUP BY day_id, user_id",
     "udf_03_rules_as_data": "WITH r AS (SELECT 'odd_even' AS rule_type, 3 AS who UNION ALL SELECT 'direction', 5 UNION ALL SELECT 'mode', 7) SELECT r.rule_type, CASE r.rule_type WHEN 'odd_even' THEN CASE WHEN @day(o.day) % 2 = 1 THEN 'blocked' ELSE 'clear' END WHEN 'direction' THEN CASE WHEN o.outing_id % 2 = 0 THEN 'blocked' ELSE 'clear' END ELSE 'context_required' END AS verdict, count(*) AS n FROM @outings() o JOIN r ON o.owner_id % r.who = 0 GROUP BY 1, 2",
@@ -35,7 +35,7 @@ SQL = {
     "aud_04_walkthrough": "SELECT track_id, CAST(sum(CASE WHEN value < 5 THEN 1 ELSE 0 END) AS BIGINT) AS unmatched, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS unnamed, bool_and(value >= 1) AS passed FROM @track() t GROUP BY track_id",
     "aud_06_requirements": "SELECT 'targets' AS gate, count(*) > 0 AS passed FROM @segments() s UNION ALL SELECT 'every_outing_claims', NOT EXISTS (SELECT 1 FROM @outings() o WHERE o.outing_id NOT IN (SELECT outing_id FROM @claims() c)) UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT seg_id) FROM @segments() s UNION ALL SELECT 'no_negative_minutes', min(minutes) >= 0 FROM @outings() o",
     "aud_07_route_efficiency": "SELECT outing_id, CASE WHEN foot_miles > 15 THEN 'too_long' WHEN minutes > 300 THEN 'too_slow' WHEN route_status = 'draft' THEN 'unproven' ELSE 'efficient' END AS verdict FROM @outings() o",
-    "aud_08_special_management": "SELECT c.outing_id, s.direction, count(*) AS n FROM @claims() c JOIN @segments() s ON s.seg_id = c.seg_id WHERE s.direction = 'ascent' AND c.outing_id % 2 = 1 GROUP BY c.outing_id, s.direction",
+    "aud_08_special_management": "SELECT c.outing_id, s.direction, count(*) AS n FROM @claims() c JOIN @segments() s ON s.seg_id = c.seg_id JOIN @outings() o ON o.outing_id = c.outing_id WHERE s.direction = 'ascent' AND @day(o.day) % 2 = 1 GROUP BY c.outing_id, s.direction",
     "aud_09_same_anchor_spurs": "SELECT a.outing_id AS host, b.outing_id AS spur, a.minutes + b.minutes <= 360 AS within_minutes, a.foot_miles + b.foot_miles <= 18 AS within_miles FROM @outings() a JOIN @outings() b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id AND b.foot_miles < a.foot_miles WHERE NOT EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey WHERE x.l_orderkey = a.outing_id AND y.l_orderkey = b.outing_id)",
     "aud_10_anchor_preservation": "SELECT anchor_id FROM @anchors() a WHERE has_parking AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = a.anchor_id AND c.c_acctbal > 0)",
     "aud_11_review_gate": "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN l.toxic = 1 AND d.doc_id % 2 = 0 THEN 'WAIVED' WHEN l.toxic = 1 THEN 'FAIL' WHEN l.quality = 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x GROUP BY verdict",

@@ -4,16 +4,11 @@ _NEAR = "@q(@haversine_miles(a.lon,a.lat,s.lon,s.lat),1e6)"
 
 SQL = {
     "join_01_equi_lookup": "SELECT c.outing_id, c.seg_id, @q(s.miles,1e2) AS miles FROM @claims() c LEFT JOIN @segments() s ON s.seg_id = c.seg_id",
-    "join_02_enrich_overlay": "SELECT a.anchor_id, coalesce(b.confidence, a.confidence) AS confidence, coalesce(b.has_parking, a.has_parking) AS has_parking FROM @anchors() a LEFT JOIN (SELECT anchor_id, confidence, has_parking FROM @anchors() x WHERE anchor_id % 3 = 0) b ON b.anchor_id = a.anchor_id + 1",
+    "join_02_enrich_overlay": "SELECT a.anchor_id, coalesce(b.confidence, a.confidence) AS confidence, coalesce(b.has_parking, a.has_parking) AS has_parking FROM @anchors() a LEFT JOIN (SELECT anchor_id, 'user_review_confirmed_paved_road_parking' AS confidence, true AS has_parking FROM @anchors() x WHERE has_parking AND confidence = 'unknown') b ON b.anchor_id = a.anchor_id",
     "join_03_composite_key": "SELECT l.l_orderkey, l.l_linenumber, count(*) AS n FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_orderkey % 7 = l.l_linenumber GROUP BY l.l_orderkey, l.l_linenumber",
-    "join_04_nearest_segment": f"SELECT anchor_id, seg_id FROM (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {_NEAR}, s.seg_id) AS r FROM @anchors() a JOIN @segments() s ON abs(a.lat - s.lat) < 6e-2) x WHERE r = 1",
     "join_05_nearest_within_tolerance": f"WITH a AS (SELECT anchor_id, lon, lat, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @anchors() a), p AS (SELECT anchor_id, lon, lat, cx + dx AS cx, cy + dy AS cy FROM a CROSS JOIN (SELECT -1 AS dx UNION ALL SELECT 0 UNION ALL SELECT 1) i CROSS JOIN (SELECT -1 AS dy UNION ALL SELECT 0 UNION ALL SELECT 1) j), s AS (SELECT seg_id, lon, lat, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @segments() s), d AS (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {_NEAR}, s.seg_id) AS r FROM p a JOIN s ON s.cx = a.cx AND s.cy = a.cy WHERE @haversine_miles(a.lon,a.lat,s.lon,s.lat) <= 2e0) SELECT anchor_id, seg_id FROM d WHERE r = 1",
-    "join_07_nearest_trailhead": "SELECT seg_id, anchor_id FROM (SELECT s.seg_id, a.anchor_id, row_number() OVER (PARTITION BY s.seg_id ORDER BY @q(@haversine_miles(a.lon,a.lat,s.lon,s.lat),1e6), a.anchor_id) AS r FROM @segments() s CROSS JOIN @anchors() a) x WHERE r = 1",
     "join_08_bbox_semi": "SELECT s.seg_id FROM @segments() s WHERE EXISTS (SELECT 1 FROM @anchors() a WHERE abs(a.lon - s.lon) <= 1e-2 AND abs(a.lat - s.lat) <= 1e-2)",
-    "join_10_match_confidence": "SELECT tier, count(*) AS n FROM (SELECT @match_confidence(@haversine_miles(a.lon,a.lat,s.lon,s.lat) / 40,(s.seg_id % 100) / 1e2) AS tier FROM @anchors() a JOIN @segments() s ON s.seg_id % 10 = a.anchor_id % 10) x GROUP BY tier",
-    "join_11_orientation_match": "WITH d AS (SELECT a.anchor_id, s.seg_id, least(@haversine_miles(a.lon,a.lat,s.lon,s.lat), @haversine_miles(a.lon,a.lat,s.lon + 1e-2,s.lat)) + CASE WHEN s.seg_id % 10 = a.anchor_id % 10 THEN 0e0 ELSE 5e-1 END AS score FROM @anchors() a JOIN @segments() s ON abs(a.lat - s.lat) < 4e-2) SELECT anchor_id, seg_id FROM (SELECT anchor_id, seg_id, row_number() OVER (PARTITION BY anchor_id ORDER BY @q(score,1e6), seg_id) AS r FROM d) x WHERE r = 1",
-    "join_14_candidates_or_planned": "SELECT s.seg_id, s.seg_id IN (SELECT seg_id FROM @claims() c WHERE outing_id % 50 = 0) AS planned FROM @segments() s WHERE s.seg_id IN (SELECT seg_id FROM @claims() c WHERE outing_id % 50 = 0) OR @boxes_meet(s.lon,s.lat,s.lon,s.lat,-1163e-1,435e-1,-1162e-1,436e-1,1e-2,1e-2)",
-    "join_15_edge_preference": f"WITH d AS (SELECT a.anchor_id, s.seg_id, s.direction, {_NEAR} AS d FROM @anchors() a JOIN @segments() s ON abs(a.lon - s.lon) < 3e-2 AND abs(a.lat - s.lat) < 3e-2), b AS (SELECT anchor_id, seg_id, direction, d, min(d) OVER (PARTITION BY anchor_id) AS best FROM d) SELECT anchor_id, seg_id FROM (SELECT anchor_id, seg_id, row_number() OVER (PARTITION BY anchor_id ORDER BY CASE WHEN seg_id % 5 = 0 THEN 0 ELSE 1 END, direction, d, seg_id) AS r FROM b WHERE d <= best + 500000) x WHERE r = 1",
+    "join_14_candidates_or_planned": "SELECT s.seg_id, s.seg_id IN (SELECT seg_id FROM @claims() c WHERE outing_id IN (SELECT outing_id FROM @outings() o WHERE status = 'P')) AS planned FROM @segments() s WHERE s.seg_id IN (SELECT seg_id FROM @claims() c WHERE outing_id IN (SELECT outing_id FROM @outings() o WHERE status = 'P')) OR @boxes_meet(s.lon,s.lat,s.lon,s.lat,-1163e-1,435e-1,-1162e-1,436e-1,1e-2,1e-2)",
     "join_16_match_groups": "WITH f AS (SELECT track_id, idx, event_type, value, CASE WHEN lag(event_type) OVER (PARTITION BY track_id ORDER BY idx) = event_type THEN 0 ELSE 1 END AS new FROM @track() t), g AS (SELECT track_id, event_type, value, idx, sum(new) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM f) SELECT track_id, CAST(grp AS BIGINT) AS grp, min(event_type) AS edge, @q(sum(value),1e2) AS miles FROM g GROUP BY track_id, grp",
     "join_17_named_overlap": "SELECT seg_id, other_id FROM (SELECT a.seg_id, b.seg_id AS other_id, row_number() OVER (PARTITION BY a.seg_id ORDER BY b.seg_id) AS r FROM @segments() a JOIN @segments() b ON a.trail_name = b.trail_name AND a.seg_id <> b.seg_id AND @haversine_miles(a.lon,a.lat,b.lon,b.lat) <= 8e0) x WHERE r = 1",
     "join_18_exact_edge_override": "WITH o AS (SELECT x, y, seg_id FROM (SELECT @floor(lon * 50) AS x, @floor(lat * 50) AS y, seg_id, row_number() OVER (PARTITION BY @floor(lon * 50), @floor(lat * 50) ORDER BY seg_id DESC) AS r FROM @segments() s) z WHERE r = 1) SELECT a.anchor_id, o.seg_id FROM @anchors() a JOIN o ON o.x = @floor(a.lon * 50) AND o.y = @floor(a.lat * 50)",
@@ -25,10 +20,9 @@ SQL = {
     "join_24_co_coverage": "SELECT a.outing_id AS a, b.outing_id AS b, count(*) AS shared, @q(sum(s.miles),1e2) AS miles FROM @claims() a JOIN @claims() b ON a.seg_id = b.seg_id AND a.outing_id < b.outing_id JOIN @segments() s ON s.seg_id = a.seg_id GROUP BY a.outing_id, b.outing_id HAVING count(*) > 1",
     "join_25_proximity_self_join": "SELECT a.anchor_id AS a, b.anchor_id AS b, @q(1 - @haversine_miles(a.lon,a.lat,b.lon,b.lat) / 8,1e4) AS weight FROM @anchors() a JOIN @anchors() b ON a.anchor_id < b.anchor_id AND @haversine_miles(a.lon,a.lat,b.lon,b.lat) <= 8e0",
     "join_26_neighbour_top_k": "SELECT a, b, CAST(r AS BIGINT) AS place FROM (SELECT a.anchor_id AS a, b.anchor_id AS b, row_number() OVER (PARTITION BY a.anchor_id ORDER BY @q(@haversine_miles(a.lon,a.lat,b.lon,b.lat),1e6), b.anchor_id) AS r FROM @anchors() a JOIN @anchors() b ON a.anchor_id <> b.anchor_id) x WHERE r <= 5",
-    "join_27_tail_opportunities": "WITH own AS (SELECT outing_id, seg_id FROM @claims() c), short AS (SELECT seg_id, lon, lat FROM @segments() s WHERE miles <= 1e0) SELECT DISTINCT o.outing_id, t.seg_id FROM own o JOIN @segments() s ON s.seg_id = o.seg_id JOIN short t ON abs(t.lon - s.lon) < 2e-2 AND abs(t.lat - s.lat) < 2e-2 WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.outing_id = o.outing_id AND x.seg_id = t.seg_id)",
+    "join_27_tail_opportunities": "WITH own AS (SELECT outing_id, seg_id FROM @claims() c), short AS (SELECT seg_id, lon, lat, @floor(lon * 50) AS cx, @floor(lat * 50) AS cy FROM @segments() s WHERE miles <= 1e0), cell AS (SELECT seg_id, lon, lat, @floor(lon * 50) + dx AS cx, @floor(lat * 50) + dy AS cy FROM @segments() s CROSS JOIN (SELECT -1 AS dx UNION ALL SELECT 0 UNION ALL SELECT 1) i CROSS JOIN (SELECT -1 AS dy UNION ALL SELECT 0 UNION ALL SELECT 1) j), near AS (SELECT s.seg_id, t.seg_id AS other FROM cell s JOIN short t ON t.cx = s.cx AND t.cy = s.cy WHERE abs(t.lon - s.lon) < 2e-2 AND abs(t.lat - s.lat) < 2e-2) SELECT DISTINCT o.outing_id, n.other AS seg_id FROM own o JOIN near n ON n.seg_id = o.seg_id LEFT JOIN own x ON x.outing_id = o.outing_id AND x.seg_id = n.other WHERE x.seg_id IS NULL",
     "join_28_waiver_match": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN d.source <> 'src1' AND d.doc_id % 4 = 0 THEN 'route_label_mismatch' WHEN d.doc_id % 5 = 0 THEN 'segment_ids_mismatch' WHEN l.quality = 0 THEN 'missing_reason' WHEN l.toxic = 1 THEN 'expired' ELSE 'valid' END AS reason FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY reason",
     "join_29_track_index_match": "WITH t AS (SELECT DISTINCT track_id, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @track() t), s AS (SELECT seg_id, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @segments() s) SELECT t.track_id, count(*) AS n FROM t JOIN s ON s.cx = t.cx AND s.cy = t.cy GROUP BY t.track_id",
-    "join_30_rule_target": f"SELECT anchor_id, seg_id FROM (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {_NEAR}, s.seg_id) AS r FROM @anchors() a JOIN @segments() s ON abs(a.lat - s.lat) < 5e-2 WHERE s.direction = 'ascent' OR s.seg_id % 3 = 0) x WHERE r = 1",
     "join_31_block_index": "SELECT name, block, previous FROM (SELECT p_name AS name, p_brand AS block, lag(p_brand) OVER (PARTITION BY p_name ORDER BY p_partkey) AS previous, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) AS r FROM part) x WHERE r = 1",
     "join_32_full_outer_diff": "WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 89 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 97 <> 0 UNION ALL SELECT p_partkey + 1000000, p_size FROM part WHERE p_partkey % 101 = 0) SELECT coalesce(a.p_partkey, b.p_partkey) AS seg_id, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM part a FULL OUTER JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size <> b.p_size",
     "join_33_keyed_update": "SELECT o.outing_id, coalesce(c.minutes, o.minutes) AS minutes FROM @outings() o LEFT JOIN (SELECT l_orderkey AS outing_id, CAST(max(l_linenumber) * 30 AS BIGINT) AS minutes FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) c ON c.outing_id = o.outing_id",
@@ -61,7 +55,7 @@ SQL = {
     "agg_26_fallback_chain": "SELECT s.seg_id, @q(coalesce(nullif(CASE WHEN s.seg_id % 4 = 0 THEN 12e0 ELSE 0e0 END, 0e0), m.pace, 16e0),1e2) AS pace, CASE WHEN s.seg_id % 4 = 0 THEN 'manual' WHEN m.pace IS NOT NULL THEN 'segment' ELSE 'default' END AS source FROM @segments() s LEFT JOIN (SELECT l_partkey, @percentile(l_quantity,5e-1) AS pace FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey) m ON m.l_partkey = s.seg_id",
     "agg_27_effort_summary": "SELECT p.p_brand AS name, count(*) AS n, @q(@percentile(l.l_quantity,5e-1),1e2) AS pace FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY p.p_brand",
     "agg_28_trail_families": "SELECT @clean_trail_name(concat(p_type, ' ', @text(p_size % 5))) AS family, count(*) AS n FROM part GROUP BY 1",
-    "agg_29_missing_classes": "WITH o AS (SELECT s.seg_id, c.outing_id, row_number() OVER (PARTITION BY s.seg_id ORDER BY c.outing_id) AS r FROM @segments() s LEFT JOIN @claims() c ON c.seg_id = s.seg_id AND c.outing_id % 3 = 0) SELECT seg_id, CASE WHEN max(outing_id) IS NULL THEN 'no_option' ELSE 'option_not_selected' END AS class, count(outing_id) AS options FROM o WHERE r <= 4 GROUP BY seg_id",
+    "agg_29_missing_classes": "WITH o AS (SELECT s.seg_id, c.outing_id, row_number() OVER (PARTITION BY s.seg_id ORDER BY c.outing_id) AS r FROM @segments() s LEFT JOIN @claims() c ON c.seg_id = s.seg_id AND c.outing_id IN (SELECT outing_id FROM @outings() v WHERE route_status = 'graph_validated')) SELECT seg_id, CASE WHEN max(outing_id) IS NULL THEN 'no_option' ELSE 'option_not_selected' END AS class, count(outing_id) AS options FROM o WHERE r <= 4 GROUP BY seg_id",
     "agg_30_forced_swap": "SELECT class, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'no_strict_field_day_candidate' WHEN o_orderkey % 9 = 1 THEN 'force_infeasible' WHEN o_orderkey % 9 = 2 THEN 'force_did_not_recover_segment' WHEN o_orderkey % 5 > 2 THEN 'improves_max_coverage' WHEN o_orderkey % 5 = 2 AND o_orderstatus = 'F' THEN 'one_for_one_swap' WHEN o_orderkey % 5 = 2 THEN 'recovers_without_coverage_loss' ELSE 'coverage_loss_swap' END AS class FROM orders) x GROUP BY class",
     "win_01_rank_in_bucket": "SELECT outing_id, @time_bucket(minutes) AS bucket, CAST(row_number() OVER (PARTITION BY @time_bucket(minutes) ORDER BY CASE WHEN route_status = 'graph_validated' THEN 0 ELSE 1 END, foot_miles / minutes DESC, foot_miles DESC, minutes, outing_id) AS BIGINT) AS place FROM @outings() o",
     "win_08_gap_islands": "WITH d AS (SELECT DISTINCT owner_id % 30 AS who, @day(day) AS d FROM @outings() o), i AS (SELECT who, d, d - row_number() OVER (PARTITION BY who ORDER BY d) AS island FROM d) SELECT who, min(d) AS first_day, count(*) AS days FROM i GROUP BY who, island HAVING count(*) > 1",
@@ -79,13 +73,12 @@ SQL = {
     # What counts as a material difference (miles, minutes, ascent feet).
     "srt_10_dominance": "WITH d AS (SELECT a.owner_id, a.outing_id AS current_id, b.outing_id AS candidate_id, a.foot_miles - b.foot_miles AS miles, a.minutes - b.minutes AS minutes, a.ascent_ft - b.ascent_ft AS ascent FROM @outings() a JOIN @outings() b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id) SELECT current_id, candidate_id, (miles > 25e-2 OR minutes > 10 OR ascent > 250) AND NOT (miles < -25e-2 OR minutes < -10 OR ascent < -250) AS dominates FROM d",
     "srt_10_pareto": "SELECT a.anchor_id FROM (SELECT s_suppkey AS anchor_id, s_acctbal AS x, s_suppkey * 7919 % 5000 AS y FROM supplier) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_suppkey AS anchor_id, s_acctbal AS x, s_suppkey * 7919 % 5000 AS y FROM supplier) b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))",
-    "join_06_nearest_brute_force": f"SELECT anchor_id, seg_id FROM (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY {_NEAR}, s.seg_id) AS r FROM (SELECT anchor_id, lon, lat FROM @anchors() x WHERE has_parking) a CROSS JOIN @segments() s WHERE @haversine_miles(a.lon,a.lat,s.lon,s.lat) <= 3e0) x WHERE r = 1",
     "srt_11_replacement_deltas": "SELECT o.outing_id, o.minutes - r.minutes AS saved FROM @outings() o LEFT JOIN @outings() r ON r.outing_id = o.outing_id + 1",
     "srt_12_plan_selection": "SELECT owner_id FROM (SELECT owner_id, bool_and(status = 'F') AS ok, count(*) AS n, sum(foot_miles) AS miles FROM @outings() o GROUP BY owner_id) x ORDER BY ok DESC, n DESC, @q(miles,1e1) DESC, owner_id LIMIT 1",
     "set_01_keyed_union": "SELECT name, anchor_id FROM (SELECT name, anchor_id, row_number() OVER (PARTITION BY name ORDER BY priority, anchor_id) AS r FROM (SELECT p_brand AS name, p_partkey AS anchor_id, 1 AS priority FROM part WHERE p_size < 10 UNION ALL SELECT p_brand, p_partkey, 2 FROM part) x) y WHERE r = 1",
     "set_02_layer_union": "SELECT layer, count(*) AS n FROM (SELECT 'official' AS layer, seg_id FROM @segments() s UNION ALL SELECT coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'osm' END, 'r2r'), o_orderkey FROM orders) x GROUP BY layer",
-    "set_03_id_difference": "SELECT seg_id FROM @segments() s EXCEPT SELECT seg_id FROM @claims() c WHERE outing_id % 50 = 0",
-    "set_04_progress_precedence": "SELECT seg_id FROM @ledger() l WHERE kind = 'completed' AND user_id % 7 = 0 EXCEPT SELECT seg_id FROM @ledger() l WHERE kind IN ('missed', 'blocked') AND user_id % 7 = 1",
+    "set_03_id_difference": "SELECT seg_id FROM @segments() s EXCEPT SELECT seg_id FROM @claims() c WHERE outing_id IN (SELECT outing_id FROM @outings() o WHERE status = 'P' AND minutes <= 60)",
+    "set_04_progress_precedence": "SELECT user_id, seg_id FROM @ledger() l WHERE kind = 'completed' EXCEPT SELECT user_id, seg_id FROM @ledger() l WHERE kind IN ('missed', 'blocked')",
     "set_05_outing_status": "WITH done AS (SELECT DISTINCT l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT p_partkey AS seg_id FROM part WHERE p_size = 7) SELECT c.outing_id, CASE WHEN bool_and(d.seg_id IS NOT NULL) THEN 'completed' WHEN bool_and(d.seg_id IS NOT NULL OR b.seg_id IS NOT NULL) THEN 'inactive' ELSE 'open' END AS status FROM @claims() c LEFT JOIN done d ON d.seg_id = c.seg_id LEFT JOIN b ON b.seg_id = c.seg_id GROUP BY c.outing_id",
     "set_06_route_delta": "WITH done AS (SELECT DISTINCT l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F') SELECT c.outing_id, count(*) AS remaining, @joined(c.seg_id,c.seg_id) AS ids FROM @claims() c LEFT JOIN done d ON d.seg_id = c.seg_id WHERE d.seg_id IS NULL GROUP BY c.outing_id",
     "set_07_held_segments": "SELECT l_partkey AS seg_id FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'R' UNION SELECT p_partkey FROM part WHERE p_size = 7",
@@ -93,5 +86,5 @@ SQL = {
     "set_09_merge_anchors": "SELECT x, y, anchor_id FROM (SELECT @floor(lon * 10) AS x, @floor(lat * 10) AS y, anchor_id, row_number() OVER (PARTITION BY @floor(lon * 10), @floor(lat * 10) ORDER BY @confidence_rank(confidence) DESC, anchor_id) AS r FROM @anchors() a) z WHERE r = 1",
     "set_10_collection_merge": "SELECT seg_id, count(*) AS n FROM (SELECT seg_id FROM @segments() s UNION ALL SELECT seg_id FROM @claims() c) x GROUP BY seg_id",
     "set_11_keyed_replace": "SELECT outing_id, minutes FROM @outings() o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.outing_id AND l.l_linenumber = 7) UNION ALL SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) FROM lineitem WHERE l_linenumber = 7 GROUP BY l_orderkey",
-    "set_12_progress_overlay": "SELECT seg_id FROM (SELECT seg_id FROM @segments() s WHERE seg_id % 5 = 0 UNION SELECT seg_id FROM @ledger() l WHERE kind = 'completed') x WHERE seg_id NOT IN (SELECT seg_id FROM @ledger() l WHERE kind = 'missed' AND user_id % 9 = 0)",
+    "set_12_progress_overlay": "SELECT seg_id FROM (SELECT seg_id FROM @segments() s UNION SELECT seg_id FROM @ledger() l WHERE kind = 'completed') x WHERE seg_id NOT IN (SELECT seg_id FROM @ledger() l WHERE kind = 'missed')",
 }

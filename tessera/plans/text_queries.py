@@ -54,7 +54,6 @@ SQL = {
     "src_17_dem_pixels": "SELECT s.seg_id, @floor((s.lon + 117) * 50) AS col, @floor((45 - s.lat) * 50) AS row_no, CASE WHEN s.seg_id % 29 = 0 THEN NULL ELSE @q((s.seg_id % 900) * 3280839895e-9,1e2) END AS elevation_ft FROM @segments() s",
     "src_19_rule_overrides": "SELECT seg_id, allowed FROM (SELECT p_partkey AS seg_id, CASE WHEN p_size % 4 = 0 THEN 'forward' WHEN p_size % 4 = 1 THEN 'reverse' ELSE 'forward,reverse' END AS allowed FROM part) x WHERE allowed <> 'forward,reverse'",
     "src_21_condition_row": "SELECT page_id, @rxget(html,'<title>([^<]*)') AS title FROM pages WHERE html IS NOT NULL",
-    "src_22_facilities": "SELECT a.anchor_id, @q(@mercator_lon(-12940000e0 + a.anchor_id * 100),1e4) AS lon, s.seg_id FROM @anchors() a JOIN (SELECT anchor_id, seg_id FROM (SELECT a.anchor_id, s.seg_id, row_number() OVER (PARTITION BY a.anchor_id ORDER BY @q(@haversine_miles(a.lon,a.lat,s.lon,s.lat),1e6), s.seg_id) AS r FROM @anchors() a JOIN @segments() s ON abs(a.lat - s.lat) < 5e-2) x WHERE r = 1) s ON s.anchor_id = a.anchor_id",
     "src_24_embedded_json": "SELECT event_id, @json_int(props,'k') AS k FROM events",
     "src_26_track_stats": "SELECT track_id, count(*) AS points, min(@day(ts)) AS first_day, max(@day(ts)) AS last_day FROM @track() t GROUP BY track_id",
     "snk_03_csv_upsert": "SELECT l_orderkey AS run_id, l_partkey AS seg_id, n FROM (SELECT l_orderkey, l_partkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC) AS r FROM lineitem) x WHERE r = 1",

@@ -1,6 +1,4 @@
-"""Registered queries against their SQL in DuckDB on the smallest tables. TESSERA_ALL=1 runs every one."""
-import os
-
+"""Registered queries against their SQL in DuckDB on the smallest tables."""
 import pytest
 
 from tessera.plans import catalog
@@ -8,7 +6,6 @@ from tests.compare import check, connect
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(catalog.oracle_sql())
-PICKED = NAMES if os.environ.get("TESSERA_ALL") else NAMES[::12]
 KERNELS = ("grf_16_min_matching", "opt_15_branch_and_bound", "geo_16_simplify", "stm_05_day_replay")
 
 
@@ -17,7 +14,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", PICKED)
+@pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, con, name):
     said = check(spark, con, catalog.queries()[name], catalog.oracle_sql()[name], SF)
     assert said in (None, "no rows"), said
