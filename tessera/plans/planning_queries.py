@@ -27,8 +27,6 @@ SQL = {
     "stm_07_replace_duplicates": "SELECT day_id, user_id, max(event_id) AS event_id, count(*) AS replaced FROM @ledger() l GROUP BY day_id, user_id",
     "udf_03_rules_as_data": "WITH r AS (SELECT 'odd_even' AS rule_type, 3 AS who UNION ALL SELECT 'direction', 5 UNION ALL SELECT 'mode', 7) SELECT r.rule_type, CASE r.rule_type WHEN 'odd_even' THEN CASE WHEN @day(o.day) % 2 = 1 THEN 'blocked' ELSE 'clear' END WHEN 'direction' THEN CASE WHEN o.outing_id % 2 = 0 THEN 'blocked' ELSE 'clear' END ELSE 'context_required' END AS verdict, count(*) AS n FROM @outings() o JOIN r ON o.owner_id % r.who = 0 GROUP BY 1, 2",
     "udf_04_replacement_index": "WITH k AS (SELECT outing_id, @joined(seg_id,seg_id) AS ids FROM @claims() c GROUP BY outing_id) SELECT ids, count(*) AS n, min(outing_id) AS replacement FROM k GROUP BY ids HAVING count(*) > 1",
-    "udf_05_cell_probe": "WITH c AS (SELECT @floor(lon * 20) AS cx, @floor(lat * 20) AS cy, count(*) AS n FROM @segments() s GROUP BY 1, 2) SELECT a.cx, a.cy, @isum(b.n) AS around FROM c a JOIN c b ON b.cx BETWEEN a.cx - 1 AND a.cx + 1 AND b.cy BETWEEN a.cy - 1 AND a.cy + 1 GROUP BY a.cx, a.cy",
-    "udf_06_nearest_in_cells": "WITH s AS (SELECT seg_id, lon, lat, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @segments() s) SELECT a.anchor_id, @q(min(@haversine_miles(a.lon,a.lat,s.lon,s.lat)),1e4) AS d FROM @anchors() a JOIN s ON s.cx BETWEEN @floor(a.lon * 20) - 1 AND @floor(a.lon * 20) + 1 AND s.cy BETWEEN @floor(a.lat * 20) - 1 AND @floor(a.lat * 20) + 1 GROUP BY a.anchor_id",
     "aud_01_drift_repair": "SELECT c.outing_id, @joined(CASE WHEN c.seg_id % 89 = 0 THEN c.seg_id + 1000000 ELSE c.seg_id END,c.seg_id) AS ids FROM @claims() c WHERE c.seg_id % 97 <> 0 GROUP BY c.outing_id",
     "aud_02_latent_credit": "WITH x AS (SELECT DISTINCT l_orderkey AS outing_id, l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'R'), k AS (SELECT DISTINCT l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'A') SELECT o.outing_id, CASE WHEN o.outing_id % 41 = 0 THEN 'missing_gpx' WHEN count(x.seg_id) = 0 THEN 'passed' WHEN bool_and(k.seg_id IS NOT NULL) THEN 'reconciled' ELSE 'needs_repair' END AS verdict FROM @outings() o LEFT JOIN x ON x.outing_id = o.outing_id LEFT JOIN k ON k.seg_id = x.seg_id GROUP BY o.outing_id",
     "aud_03_route_repeats": "SELECT l_orderkey AS outing_id, count(*) - count(DISTINCT l_partkey) AS repeats, count(DISTINCT l_partkey) AS segments FROM lineitem GROUP BY l_orderkey",

@@ -18,7 +18,6 @@ SQL = {
     "join_22_latent_relationships": "WITH x AS (SELECT a.outing_id AS source, b.outing_id AS owner, a.seg_id FROM @claims() a JOIN @claims() b ON a.seg_id = b.seg_id AND a.outing_id < b.outing_id) SELECT source, owner, @joined(seg_id,seg_id) AS segments FROM x GROUP BY source, owner",
     "join_23_order_comparison": "WITH o AS (SELECT outing_id, owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY day, outing_id) AS pos FROM @outings() o) SELECT a.outing_id, b.outing_id AS other_id, CASE WHEN b.pos < a.pos THEN 'owner_before' ELSE 'owner_after' END AS relation FROM o a JOIN o b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id",
     "join_24_co_coverage": "SELECT a.outing_id AS a, b.outing_id AS b, count(*) AS shared, @q(sum(s.miles),1e2) AS miles FROM @claims() a JOIN @claims() b ON a.seg_id = b.seg_id AND a.outing_id < b.outing_id JOIN @segments() s ON s.seg_id = a.seg_id GROUP BY a.outing_id, b.outing_id HAVING count(*) > 1",
-    "join_25_proximity_self_join": "SELECT a.anchor_id AS a, b.anchor_id AS b, @q(1 - @haversine_miles(a.lon,a.lat,b.lon,b.lat) / 8,1e4) AS weight FROM @anchors() a JOIN @anchors() b ON a.anchor_id < b.anchor_id AND @haversine_miles(a.lon,a.lat,b.lon,b.lat) <= 8e0",
     "join_26_neighbour_top_k": "SELECT a, b, CAST(r AS BIGINT) AS place FROM (SELECT a.anchor_id AS a, b.anchor_id AS b, row_number() OVER (PARTITION BY a.anchor_id ORDER BY @q(@haversine_miles(a.lon,a.lat,b.lon,b.lat),1e6), b.anchor_id) AS r FROM @anchors() a JOIN @anchors() b ON a.anchor_id <> b.anchor_id) x WHERE r <= 5",
     "join_27_tail_opportunities": "WITH own AS (SELECT outing_id, seg_id FROM @claims() c), short AS (SELECT seg_id, lon, lat, @floor(lon * 50) AS cx, @floor(lat * 50) AS cy FROM @segments() s WHERE miles <= 1e0), cell AS (SELECT seg_id, lon, lat, @floor(lon * 50) + dx AS cx, @floor(lat * 50) + dy AS cy FROM @segments() s CROSS JOIN (SELECT -1 AS dx UNION ALL SELECT 0 UNION ALL SELECT 1) i CROSS JOIN (SELECT -1 AS dy UNION ALL SELECT 0 UNION ALL SELECT 1) j), near AS (SELECT s.seg_id, t.seg_id AS other FROM cell s JOIN short t ON t.cx = s.cx AND t.cy = s.cy WHERE abs(t.lon - s.lon) < 2e-2 AND abs(t.lat - s.lat) < 2e-2) SELECT DISTINCT o.outing_id, n.other AS seg_id FROM own o JOIN near n ON n.seg_id = o.seg_id LEFT JOIN own x ON x.outing_id = o.outing_id AND x.seg_id = n.other WHERE x.seg_id IS NULL",
     "join_28_waiver_match": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN d.source <> 'src1' AND d.doc_id % 4 = 0 THEN 'route_label_mismatch' WHEN d.doc_id % 5 = 0 THEN 'segment_ids_mismatch' WHEN l.quality = 0 THEN 'missing_reason' WHEN l.toxic = 1 THEN 'expired' ELSE 'valid' END AS reason FROM documents d JOIN labels l ON l.doc_id = d.doc_id) x GROUP BY reason",
@@ -39,7 +38,7 @@ SQL = {
     "agg_10_set_fold": "WITH k AS (SELECT DISTINCT epoch, kind, seg_id FROM @ledger() l) SELECT c.epoch, c.seg_id FROM k c WHERE c.kind = 'completed' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.epoch = c.epoch AND b.seg_id = c.seg_id AND b.kind = 'blocked')",
     "agg_11_coverage_validation": "WITH n AS (SELECT s.seg_id, count(c.outing_id) AS n FROM @segments() s LEFT JOIN @claims() c ON c.seg_id = s.seg_id GROUP BY s.seg_id) SELECT count(*) AS targets, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM n",
     "agg_12_outing_menu": "SELECT owner_id, min(outing_id) AS first_outing, count(*) AS parts, @isum(minutes) AS minutes, bool_and(route_status = 'graph_validated') AS all_valid, bool_or(minutes > 300) AS any_long FROM @outings() o GROUP BY owner_id",
-    "agg_13_weekly_load": "SELECT owner_id % 20 AS who, @floor(@day(day) / 7e0) AS week, @isum(minutes) AS minutes, CAST(sum(CASE WHEN minutes >= 240 THEN 1 ELSE 0 END) AS BIGINT) AS long_days FROM @outings() o GROUP BY 1, 2",
+    "agg_13_weekly_load": "SELECT owner_id AS who, @floor(@day(day) / 7e0) AS week, @isum(minutes) AS minutes, CAST(sum(CASE WHEN minutes >= 240 THEN 1 ELSE 0 END) AS BIGINT) AS long_days FROM @outings() o GROUP BY 1, 2",
     "agg_14_package_recompute": "SELECT o.owner_id, count(DISTINCT c.seg_id) AS segments, count(DISTINCT o.outing_id) AS outings FROM @outings() o JOIN @claims() c ON c.outing_id = o.outing_id GROUP BY o.owner_id",
     "agg_15_metric_sums": "SELECT count(*) AS n, @isum(minutes) AS minutes, @q(sum(foot_miles),1e1) AS foot_miles, @isum(ascent_ft) AS ascent FROM @outings() o",
     "agg_16_edge_accumulation": "SELECT least(l_suppkey, l_partkey % 100 + 1) AS a, greatest(l_suppkey, l_partkey % 100 + 1) AS b, count(*) AS n, @joined_set(l_returnflag) AS reasons FROM lineitem GROUP BY 1, 2",
@@ -58,7 +57,7 @@ SQL = {
     "agg_29_missing_classes": "WITH o AS (SELECT s.seg_id, c.outing_id, row_number() OVER (PARTITION BY s.seg_id ORDER BY c.outing_id) AS r FROM @segments() s LEFT JOIN @claims() c ON c.seg_id = s.seg_id AND c.outing_id IN (SELECT outing_id FROM @outings() v WHERE route_status = 'graph_validated')) SELECT seg_id, CASE WHEN max(outing_id) IS NULL THEN 'no_option' ELSE 'option_not_selected' END AS class, count(outing_id) AS options FROM o WHERE r <= 4 GROUP BY seg_id",
     "agg_30_forced_swap": "SELECT class, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'no_strict_field_day_candidate' WHEN o_orderkey % 9 = 1 THEN 'force_infeasible' WHEN o_orderkey % 9 = 2 THEN 'force_did_not_recover_segment' WHEN o_orderkey % 5 > 2 THEN 'improves_max_coverage' WHEN o_orderkey % 5 = 2 AND o_orderstatus = 'F' THEN 'one_for_one_swap' WHEN o_orderkey % 5 = 2 THEN 'recovers_without_coverage_loss' ELSE 'coverage_loss_swap' END AS class FROM orders) x GROUP BY class",
     "win_01_rank_in_bucket": "SELECT outing_id, @time_bucket(minutes) AS bucket, CAST(row_number() OVER (PARTITION BY @time_bucket(minutes) ORDER BY CASE WHEN route_status = 'graph_validated' THEN 0 ELSE 1 END, foot_miles / minutes DESC, foot_miles DESC, minutes, outing_id) AS BIGINT) AS place FROM @outings() o",
-    "win_08_gap_islands": "WITH d AS (SELECT DISTINCT owner_id % 30 AS who, @day(day) AS d FROM @outings() o), i AS (SELECT who, d, d - row_number() OVER (PARTITION BY who ORDER BY d) AS island FROM d) SELECT who, min(d) AS first_day, count(*) AS days FROM i GROUP BY who, island HAVING count(*) > 1",
+    "win_08_gap_islands": "WITH d AS (SELECT DISTINCT owner_id AS who, @day(day) AS d FROM @outings() o), i AS (SELECT who, d, d - row_number() OVER (PARTITION BY who ORDER BY d) AS island FROM d) SELECT who, min(d) AS first_day, count(*) AS days FROM i GROUP BY who, island HAVING count(*) > 1",
     "win_11_progressive_bundles": "WITH r AS (SELECT owner_id, outing_id, sum(minutes) OVER (PARTITION BY owner_id ORDER BY foot_miles, outing_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM @outings() o), b AS (SELECT owner_id, outing_id, total, row_number() OVER (PARTITION BY owner_id, @time_bucket(total) ORDER BY total) AS first_in FROM r WHERE total <= 390) SELECT owner_id, outing_id, CAST(total AS BIGINT) AS total FROM b WHERE first_in = 1",
     "win_17_schedule_position": "SELECT owner_id, min(place) AS place FROM (SELECT owner_id, CAST(row_number() OVER (ORDER BY day, outing_id) AS BIGINT) AS place FROM @outings() o WHERE status = 'F') x GROUP BY owner_id",
     "srt_01_menu_sort": "SELECT outing_id, place FROM (SELECT outing_id, CAST(row_number() OVER (ORDER BY @time_bucket(minutes), route_status DESC, foot_miles DESC, minutes, outing_id) AS BIGINT) AS place FROM @outings() o) x",
@@ -72,7 +71,6 @@ SQL = {
     "srt_09_richness_order": "SELECT doc_id, (CASE WHEN text IS NULL THEN 0 ELSE 1 END + CASE WHEN lang IS NULL THEN 0 ELSE 1 END + CASE WHEN source IS NULL THEN 0 ELSE 1 END) AS richness FROM documents",
     # What counts as a material difference (miles, minutes, ascent feet).
     "srt_10_dominance": "WITH d AS (SELECT a.owner_id, a.outing_id AS current_id, b.outing_id AS candidate_id, a.foot_miles - b.foot_miles AS miles, a.minutes - b.minutes AS minutes, a.ascent_ft - b.ascent_ft AS ascent FROM @outings() a JOIN @outings() b ON a.owner_id = b.owner_id AND a.outing_id <> b.outing_id) SELECT current_id, candidate_id, (miles > 25e-2 OR minutes > 10 OR ascent > 250) AND NOT (miles < -25e-2 OR minutes < -10 OR ascent < -250) AS dominates FROM d",
-    "srt_10_pareto": "SELECT a.anchor_id FROM (SELECT s_suppkey AS anchor_id, s_acctbal AS x, s_suppkey * 7919 % 5000 AS y FROM supplier) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_suppkey AS anchor_id, s_acctbal AS x, s_suppkey * 7919 % 5000 AS y FROM supplier) b WHERE b.x >= a.x AND b.y >= a.y AND (b.x > a.x OR b.y > a.y))",
     "srt_11_replacement_deltas": "SELECT o.outing_id, o.minutes - r.minutes AS saved FROM @outings() o LEFT JOIN @outings() r ON r.outing_id = o.outing_id + 1",
     "srt_12_plan_selection": "SELECT owner_id FROM (SELECT owner_id, bool_and(status = 'F') AS ok, count(*) AS n, sum(foot_miles) AS miles FROM @outings() o GROUP BY owner_id) x ORDER BY ok DESC, n DESC, @q(miles,1e1) DESC, owner_id LIMIT 1",
     "set_01_keyed_union": "SELECT name, anchor_id FROM (SELECT name, anchor_id, row_number() OVER (PARTITION BY name ORDER BY priority, anchor_id) AS r FROM (SELECT p_brand AS name, p_partkey AS anchor_id, 1 AS priority FROM part WHERE p_size < 10 UNION ALL SELECT p_brand, p_partkey, 2 FROM part) x) y WHERE r = 1",

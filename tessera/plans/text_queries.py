@@ -5,7 +5,6 @@ SQL = {
     "str_01_clean_trail_name": "SELECT p_partkey AS seg_id, @clean_trail_name(concat(p_name, ' ', @text(p_partkey % 7))) AS name FROM part",
     "str_02_normalize_name": "SELECT p_partkey AS seg_id, @normal_name(concat('Tom''s `', p_name, '` #', @text(p_size), ' & 12 ', p_brand)) AS name FROM part",
     "str_03_name_tokens": "SELECT token, count(DISTINCT seg_id) AS n FROM (SELECT p_partkey AS seg_id, @words(@normal_name(concat(p_name, ' trail to the ', p_type))) AS token FROM part) x WHERE token NOT IN ('trail', 'trails', 'the', 'to', 'of', 'from', 'and', 'up', 'down', 'climb', 'lap', 'loop', 'cw', 'ccw', 'counter', 'clockwise', 'sign', '') GROUP BY token",
-    "str_05_token_overlap": "WITH a AS (SELECT DISTINCT seg_id, token FROM (SELECT p_partkey AS seg_id, @words(@normal_name(p_type)) AS token FROM part) x), b AS (SELECT DISTINCT name, token FROM (SELECT DISTINCT p_type AS name, 1 AS one FROM part) n CROSS JOIN (SELECT 0 AS zero) z JOIN a ON n.name >= token), s AS (SELECT seg_id, count(*) AS n FROM a GROUP BY seg_id) SELECT s.seg_id, s.n AS tokens, CAST(count(b.token) AS BIGINT) AS shared FROM s JOIN a ON a.seg_id = s.seg_id LEFT JOIN (SELECT DISTINCT token FROM b) b ON b.token = a.token GROUP BY s.seg_id, s.n",
     "str_07_id_sort_key": "SELECT seg_id, CAST(row_number() OVER (ORDER BY @pad(seg_id,12), seg_id) AS BIGINT) AS place FROM @segments() s",
     "str_08_slugify": "SELECT p_partkey AS seg_id, @slug(p_name) AS slug FROM part",
     "str_10_name_variants": "SELECT DISTINCT seg_id, trim(variant) AS variant FROM (SELECT p_partkey AS seg_id, @words(replace(replace(concat(p_name, '/', p_brand, '-', p_type), '/', ' '), '-', ' ')) AS variant FROM part) x WHERE trim(variant) <> ''",
@@ -40,7 +39,7 @@ SQL = {
     "flt_10_route_status": "SELECT outing_id, CASE WHEN outing_id % 2 = 0 AND outing_id % 7 > 0 AND outing_id % 3 <> 2 THEN 'graph_validated' ELSE 'draft' END AS status, CASE WHEN outing_id % 2 = 0 AND outing_id % 7 > 0 AND outing_id % 3 <> 2 THEN 2 WHEN outing_id % 5 = 0 AND outing_id % 3 <> 2 THEN 1 ELSE 0 END AS rank FROM @outings() o",
     "flt_11_selection_reasons": "SELECT outing_id, concat(CASE WHEN @monthday(day) BETWEEN '06-18' AND '07-18' THEN 'window;' ELSE '' END, CASE WHEN @day(day) >= 10000 THEN 'recent;' ELSE '' END) AS reasons FROM @outings() o WHERE @monthday(day) BETWEEN '06-18' AND '07-18' OR @day(day) >= 10000",
     "flt_12_reject_reasons": "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'sport' WHEN @haversine_miles(lon,lat,-1162e-1,436e-1) < 3e0 THEN 'home_radius' WHEN value < 10 THEN 'too_short' ELSE 'kept' END AS reason FROM @track() t) x GROUP BY reason",
-    "flt_13_max_consecutive": "WITH d AS (SELECT DISTINCT owner_id % 50 AS who, @day(day) AS d FROM @outings() o), i AS (SELECT who, d - row_number() OVER (PARTITION BY who ORDER BY d) AS island FROM d), n AS (SELECT who, island, count(*) AS run FROM i GROUP BY who, island) SELECT who, max(run) AS longest, max(run) > 3 AS exceeds FROM n GROUP BY who",
+    "flt_13_max_consecutive": "WITH d AS (SELECT DISTINCT owner_id AS who, @day(day) AS d FROM @outings() o), i AS (SELECT who, d - row_number() OVER (PARTITION BY who ORDER BY d) AS island FROM d), n AS (SELECT who, island, count(*) AS run FROM i GROUP BY who, island) SELECT who, max(run) AS longest, max(run) > 3 AS exceeds FROM n GROUP BY who",
     "flt_14_day_constraints": "WITH dy AS (SELECT DISTINCT @day(day) AS d FROM @outings() o), k AS (SELECT minutes <= 240 AND foot_miles <= 10 AND ascent_ft <= 2000 AS small, count(*) AS n FROM @outings() o GROUP BY 1) SELECT d.d, @isum(k.n) AS allowed FROM dy d JOIN k ON d.d % 30 < 25 OR k.small GROUP BY d.d",
     "flt_15_completion_safe": "WITH c AS (SELECT DISTINCT l_orderkey AS outing_id, l_partkey AS seg_id FROM lineitem WHERE l_returnflag = 'A'), n AS (SELECT seg_id, count(*) AS n FROM c GROUP BY seg_id) SELECT c.outing_id, CAST(sum(CASE WHEN n.n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS only_here, bool_and(n.n > 1) AS safe FROM c JOIN n ON n.seg_id = c.seg_id GROUP BY c.outing_id",
     "src_02_segments": "SELECT seg_id, trail_name, @q(miles,1e2) AS miles, direction, @node4(lon) AS x, @node4(lat) AS y FROM @segments() s",
