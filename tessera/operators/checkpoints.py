@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,3 +21,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, root, True)
         context.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the shared checkpoint folder, for files that a query writes and reads again."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        checkpointed(spark.range(1))
+    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"

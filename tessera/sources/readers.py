@@ -98,3 +98,29 @@ def line_miles(points: str = "points") -> Column:
     """Length of an array of points."""
     body = render("@haversine_miles(x.a.lon,x.a.lat,x.b.lon,x.b.lat)")
     return F.expr(f"aggregate(zip_with(slice({points}, 1, size({points}) - 1), slice({points}, 2, size({points}) - 1), (a, b) -> struct(a, b)), 0D, (t, x) -> t + {body})")
+
+
+#: The legacy planner's segment: ids are text, lengths feet.
+LEGACY_SEGMENT = "seg_id string, name string, start struct<lon:double,lat:double>, end struct<lon:double,lat:double>, length_ft double, direction string, points array<struct<lon:double,lat:double>>"
+#: The legacy planner's settings, one row.
+LEGACY_CONFIG = "start_date date, end_date date, pace_minutes double, grade_factor double, daily_minutes int, drive_speed_mph double, max_days int"
+
+
+def legacy_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of LEGACY_SEGMENT from documents with ``trailSegments``; a segment without vertices goes."""
+    schema = "trailSegments array<struct<properties:map<string,string>,geometry:struct<coordinates:array<array<double>>>>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("trailSegments").alias("s")).where("size(s.geometry.coordinates) > 0")
+    p, points = F.col("s.properties"), _points(F.col("s.geometry.coordinates"))
+    rows = rows.select(
+        F.coalesce(p["segId"], F.lit("")).alias("seg_id"), F.coalesce(p["segName"], F.lit("")).alias("name"), points[0].alias("start"), F.element_at(points, -1).alias("end"),
+        F.coalesce(p["LengthFt"].cast("double"), F.lit(0.0)).alias("length_ft"), F.coalesce(p["direction"], F.lit("both")).alias("direction"), points.alias("points"),
+    )
+    return rows
+
+
+def optional(spark: SparkSession, path: str, schema: str, read=None) -> DataFrame:
+    """What ``read(spark, path)`` (by default JSON of ``schema``) gives, or an empty DataFrame of ``schema`` where nothing is at ``path``."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    return read(spark, path) if read else spark.read.schema(schema).option("multiLine", True).json(path)

@@ -63,3 +63,48 @@ def unsafe_files(spark: SparkSession, path: str, tokens: tuple[str, ...] = ()) -
     tests = [(F.col("value").contains(t), t) for t in tokens] + [(F.col("value").rlike(p), p) for p in PRIVATE]
     found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in tests)))
     return rows.select("path", F.explode(found).alias("reason"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """name, sha256 of the files at ``path``."""
+    return manifest(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("digest").alias("sha256"))
+
+
+def flat_columns(rows: DataFrame) -> DataFrame:
+    """Nested structs as columns named with their path (``a.b`` becomes a_b); arrays and maps as JSON text."""
+    from pyspark.sql.types import ArrayType, MapType, StructType
+
+    def leaves(kind, at):
+        for field in kind:
+            column = f"{at}.`{field.name}`" if at else f"`{field.name}`"
+            if isinstance(field.dataType, StructType):
+                yield from leaves(field.dataType, column)
+            else:
+                value = F.to_json(column) if isinstance(field.dataType, (ArrayType, MapType)) else F.col(column)
+                yield value.alias(column.replace("`", "").replace(".", "_"))
+
+    return rows.select(*leaves(rows.schema, ""))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header, nested columns flattened; nulls are empty."""
+    flat_columns(rows).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
+
+
+def markdown_sections(rows: DataFrame, section: str, order: list[str], columns: list[str], most: int) -> DataFrame:
+    """section, markdown: a heading and a table of the first ``most`` rows (by ``order``) of each section."""
+    cells = lambda values: F.concat(F.lit("| "), F.array_join(F.array(*values), " | "), F.lit(" |"))
+    shown = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(section).orderBy(*order))).where(F.col("__n") <= most)
+    lines = ranked.groupBy(section).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", cells(shown).alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    head = "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)])
+    return lines.select(section, F.concat(F.lit("## "), F.col(section).cast("string"), F.lit(f"\n\n{head}\n"), F.col("body"), F.lit("\n")).alias("markdown"))
+
+
+def gpx_zip(documents: DataFrame, path: str) -> None:
+    """One ZIP of small reports: name.gpx for each row of name, gpx, in name order (driver side, row by row)."""
+    import zipfile
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in documents.orderBy("name").toLocalIterator():
+            z.writestr(zipfile.ZipInfo(f"{r.name}.gpx"), r.gpx)
