@@ -20,7 +20,9 @@ REPEAT_BYTES = 200
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(docs.columns)
+    own = {c: c if c in ("doc_id", "text") else f"__{k}" for k, c in enumerate(docs.columns)}  # clashing names stay apart
+    scored = toxicity.score(docs.toDF(*own.values()), model, list(own.values()))
+    return scored.where("predicted = 0").select(*[F.col(v).alias(c) for c, v in own.items()])
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
