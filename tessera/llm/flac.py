@@ -454,7 +454,11 @@ def read_samples(stream: bytes, first: int, count: int) -> bytes:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """key, first_sample, pcm of every frame of the streams of ``media`` (key, media): blocks at seekable sample offsets."""
+    """key, first_sample, pcm of every frame of the streams of ``media`` (key, media): blocks at seekable sample offsets.
+
+    Repeated rows give their blocks again, a null key is kept, an empty table gives no rows; a null stream is an error, as
+    one that fails its checksums.
+    """
 
     def run(batches):
         for batch in batches:
@@ -475,7 +479,8 @@ def _features(payload: bytes) -> str:
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
-    """key, n_bytes, media of each row of ``docs`` (key, text)."""
+    """key, n_bytes, media of each row of ``docs`` (key, text), row by row: null text is empty (one frame of padding), repeated
+    rows and null keys stay, other columns are ignored, an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
@@ -487,7 +492,10 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
 
 def media_report(media: DataFrame) -> DataFrame:
-    """Decode each stream of ``media`` (key, n_bytes, media) and describe payload and stored form."""
+    """Decode each stream of ``media`` (key, n_bytes, media) and describe payload and stored form, row by row.
+
+    Repeated rows and null keys stay; a null stream is an error, as one that fails its checksums.
+    """
 
     def run(batches):
         for batch in batches:

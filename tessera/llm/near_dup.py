@@ -366,7 +366,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def similarity_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed documents, classes, verified links between class ids) of ``docs`` (doc_id, text; as in ``near_duplicates``)."""
+    """(signed documents, classes, verified links between class ids) of ``docs`` (doc_id, text).
+
+    Null, empty and blank texts have no class; neither has a null doc_id. Equal sets are one class, whose id is the smallest
+    doc_id; repeated rows are signed each. An empty table gives three empty ones.
+    """
     bounded_batches(docs.sparkSession)
     run = _Join(docs, width, percent)
     nodes = written(run.sketches.select("id", "sketch").mapInArrow(_grower(START_DEPTH, run.threshold, True), "node long, id long"), "near-nodes")

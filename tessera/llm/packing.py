@@ -134,6 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048) -> Da
     pieces = written(rows.mapInArrow(_piece_maker(tokenizer, end_id, window), schema), "pack-pieces")
     counts = written(pieces.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each length and input partition, so it grows with the input: Spark broadcasts it only under its own threshold.
     bases = counts.select("length", "shard", before.alias("base"))
     # At most ``window`` rows, whatever the number of documents.
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
