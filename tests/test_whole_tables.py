@@ -22,7 +22,7 @@ def sf(tmp_path_factory):
     put = lambda name, **c: pd.DataFrame(c).to_parquet(at / f"{name}.parquet", index=False)
     put("lineitem", l_orderkey=[o for o, _ in CLAIMS], l_partkey=[s for _, s in CLAIMS], l_suppkey=[2] * len(CLAIMS), l_quantity=[1.0] * len(CLAIMS))
     put("orders", o_orderkey=list(OWNERS), o_custkey=list(OWNERS.values()), o_orderstatus=["O"] * 6, o_orderdate=pd.to_datetime([DAY + datetime.timedelta(DAYS[k]) for k in OWNERS]).as_unit("us"), o_totalprice=[k * 60.0 for k in OWNERS])
-    put("part", p_partkey=list(range(1, 14)), p_name=["x"] * 13, p_size=[k % 20 for k in range(1, 14)], p_type=["red tin" if k == 3 else "zinc ash" for k in range(1, 14)])
+    put("part", p_partkey=list(range(1, 14)), p_retailprice=[900.0 + k for k in range(1, 14)], p_name=["x"] * 13, p_size=[k % 20 for k in range(1, 14)], p_type=["red tin" if k == 3 else "zinc ash" for k in range(1, 14)])
     put("supplier", s_suppkey=list(range(1, 100, 9)), s_name=["s"] * 11, s_acctbal=[1.0] * 11)
     put("events", event_id=[e for e, _, _ in EVENTS], user_id=[u for _, u, _ in EVENTS], event_type=[t for _, _, t in EVENTS], ts=pd.to_datetime(["2024-01-05"] * len(EVENTS)).as_unit("us"), value=[1.0] * len(EVENTS))
     return str(at)
@@ -93,4 +93,4 @@ def test_days_and_tokens(spark, sf, rows):
     small = sum(r[0] for r in outings)
     assert 0 < small < len(outings)
     assert rows("flt_14_day_constraints") == sorted((d, len(outings) if d % 30 < 25 else small) for d in set(DAYS.values()))
-    assert rows("str_05_token_overlap") == [(k, 2, 2) for k in range(1, 14)]
+    assert rows("str_05_token_overlap") == [(k, "red tin" if k == 3 else "zinc ash", "part") for k in range(1, 14)]
