@@ -8,4 +8,8 @@ SQL = {
     "SELECT 'every_outing_claims', unknown > 0 OR CASE WHEN every = 0 THEN outings ELSE named END = 0 FROM (SELECT count(*) AS outings, count(outing_id) AS named FROM (SELECT /*+ MERGE(l) */ o.outing_id FROM @outings() o LEFT ANTI JOIN lineitem l ON l.l_orderkey = o.outing_id) x) o CROSS JOIN "
     + _CLAIM_KEYS.format(key="l_orderkey")
     + " UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT seg_id) FROM @segments() s UNION ALL SELECT 'no_negative_minutes', min(minutes) >= 0 FROM @outings() o",
+    "aud_15_schedule_proof": "SELECT issue, count(*) AS n FROM (SELECT 'over_bound' AS issue FROM @outings() o WHERE minutes > 360 UNION ALL "
+    "SELECT 'uncovered' FROM (SELECT /*+ MERGE(l) */ s.seg_id FROM @segments() s LEFT ANTI JOIN lineitem l ON l.l_partkey = s.seg_id) s CROSS JOIN "
+    + _CLAIM_KEYS.format(key="l_partkey")
+    + " WHERE unknown = 0 AND (seg_id IS NOT NULL OR every = 0) UNION ALL SELECT 'claimed_twice' FROM (SELECT seg_id FROM @claims() c GROUP BY seg_id HAVING count(*) > 1) x) y GROUP BY issue",
 }

@@ -38,7 +38,7 @@ def test_claims_by_anti_join(spark, tmp_path, orders, claimed, passed, uncovered
         assert check(spark, con, catalog.queries()[name], catalog.oracle_sql()[name], sf) in (None, "no rows")
 
 
-@pytest.mark.parametrize("name", ["aud_06_requirements"])
+@pytest.mark.parametrize("name", ["aud_06_requirements", "aud_15_schedule_proof"])
 def test_no_keys_in_the_driver(spark, name):
     text = plan(catalog.queries()[name](spark, SF))
     assert "LeftAnti" in text and "BroadcastHashJoin" not in text
