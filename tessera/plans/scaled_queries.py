@@ -2,6 +2,7 @@
 
 # What NOT IN means for nulls, without its broadcast of the other side: no row where that has a null, every row where it is empty.
 _CLAIM_KEYS = "(SELECT count(*) AS every, count_if({key} IS NULL) AS unknown FROM lineitem) k"
+_EVENT_ORDER = "array_sort(collect_list(CASE WHEN value IS NOT NULL THEN named_struct('e', event_id, 'v', value) END))"
 
 SQL = {
     "aud_06_requirements": "SELECT 'targets' AS gate, count(*) > 0 AS passed FROM @segments() s UNION ALL "
@@ -12,4 +13,8 @@ SQL = {
     "SELECT 'uncovered' FROM (SELECT /*+ MERGE(l) */ s.seg_id FROM @segments() s LEFT ANTI JOIN lineitem l ON l.l_partkey = s.seg_id) s CROSS JOIN "
     + _CLAIM_KEYS.format(key="l_partkey")
     + " WHERE unknown = 0 AND (seg_id IS NOT NULL OR every = 0) UNION ALL SELECT 'claimed_twice' FROM (SELECT seg_id FROM @claims() c GROUP BY seg_id HAVING count(*) > 1) x) y GROUP BY issue",
+    # A day's values are added in the order of events: floating sums depend on it, and files are read in any order.
+    "agg_09_five_numbers": f"WITH s AS (SELECT user_id, @day(ts) AS day, {_EVENT_ORDER} AS s, count(*) AS n FROM events GROUP BY user_id, @day(ts)), "
+    "d AS (SELECT user_id, n, CASE WHEN size(s) > 0 THEN aggregate(s, 0e0, (t, x) -> t + x.v) END AS v FROM s) "
+    "SELECT user_id, @q(min(v),1e2) AS lo, @q(@percentile(v,5e-1),1e1) AS mid, @q(max(v),1e2) AS hi, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi_days FROM d GROUP BY user_id",
 }

@@ -42,3 +42,15 @@ def test_claims_by_anti_join(spark, tmp_path, orders, claimed, passed, uncovered
 def test_no_keys_in_the_driver(spark, name):
     text = plan(catalog.queries()[name](spark, SF))
     assert "LeftAnti" in text and "BroadcastHashJoin" not in text
+
+
+def test_sums_in_the_order_of_events(spark, tmp_path):
+    # Added in one order they reach the half at which 90.65 becomes 907 tenths, in the other they stay below it.
+    values = {7: 16.96, 8: 26.27, 9: 47.42}
+    answers = []
+    for order in ([7, 8, 9], [7, 9, 8]):
+        at = tmp_path / "".join(map(str, order))
+        at.mkdir()
+        sf = tables(at, events={"event_id": order, "user_id": [1] * 3, "ts": pd.to_datetime([DAY] * 3).as_unit("us"), "event_type": ["view"] * 3, "value": [values[k] for k in order]})
+        answers.append(tuple(catalog.queries()["agg_09_five_numbers"](spark, sf).first()))
+    assert len(set(answers)) == 1
