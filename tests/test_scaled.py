@@ -1,5 +1,6 @@
 """Queries with a Spark text of their own: small tables with answers known, and plans that hold no table in the driver."""
 import datetime
+import random
 
 import pandas as pd
 import pytest
@@ -54,3 +55,30 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
         sf = tables(at, events={"event_id": order, "user_id": [1] * 3, "ts": pd.to_datetime([DAY] * 3).as_unit("us"), "event_type": ["view"] * 3, "value": [values[k] for k in order]})
         answers.append(tuple(catalog.queries()["agg_09_five_numbers"](spark, sf).first()))
     assert len(set(answers)) == 1
+
+
+NEAR = ("join_17_named_overlap",)
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """Places repeat every 185,000 keys: several segments and anchors on one place, and lone ones far off."""
+    parts = [k + 185_000 * n for k in sorted(random.Random(1).sample(range(9_000), 300)) for n in range(1 + k % 4)]
+    anchors = [k + 185_000 * n for k in sorted(random.Random(2).sample(range(900), 40)) for n in range(1 + k % 3)]
+    return tables(
+        tmp_path_factory.mktemp("crowded"),
+        part={"p_partkey": parts, "p_name": [("red tin", "blue ash", "old oak")[k % 3] if k % 50 else f"lone {k}" for k in parts], "p_type": [("TIN", "BRASS", "OLD TIN")[k % 3] for k in parts], "p_size": [k % 50 + 1 for k in parts]},
+        supplier={"s_suppkey": anchors, "s_name": [f"blue {k % 5}" for k in anchors], "s_acctbal": [k * 37 % 4000 - 100.0 if k % 11 else None for k in anchors]},
+        events={"event_id": list(range(0, 4000, 13)), "user_id": [k % 9 for k in range(0, 4000, 13)], "ts": pd.to_datetime([DAY] * 308).as_unit("us"), "event_type": ["view"] * 308, "value": [1.0] * 308},
+    )
+
+
+@pytest.mark.parametrize("name", [n for n in NEAR if n in catalog.oracle_sql()])
+def test_crowded_places(spark, crowded, name):
+    assert check(spark, connect(crowded), catalog.queries()[name], catalog.oracle_sql()[name], crowded) is None
+
+
+@pytest.mark.parametrize("name", ["join_17_named_overlap"])
+def test_no_pairs_of_all_rows(spark, crowded, name):
+    text = plan(catalog.queries()[name](spark, crowded))
+    assert "NestedLoop" not in text and "Cartesian" not in text and "rank" not in text.lower() and "Window" not in text
