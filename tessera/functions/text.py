@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from difflib import SequenceMatcher
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F, types as T
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 
 
+@functools.lru_cache(1 << 16)
 def similarity(left: str | None, right: str | None) -> float:
     """1 for equal, 0.9 for contained, else the ratio of matching blocks; 0 where one is empty."""
     if not left or not right:
