@@ -57,7 +57,7 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
     assert len(set(answers)) == 1
 
 
-NEAR = ("join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "join_09_best_match", "str_04_name_similarity",)
+NEAR = ("join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "opt_19_field_day_combos", "join_09_best_match", "str_04_name_similarity",)
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,7 @@ def test_crowded_places(spark, crowded, name):
 def test_no_pairs_of_all_rows(spark, crowded, name):
     text = plan(catalog.queries()[name](spark, crowded))
     assert "NestedLoop" not in text and "Cartesian" not in text and "rank" not in text.lower() and "Window" not in text
+
+
+def test_triples_in_many_tasks(spark, crowded):
+    assert catalog.queries()["opt_19_field_day_combos"](spark, crowded).rdd.getNumPartitions() >= 48
