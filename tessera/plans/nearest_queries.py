@@ -26,9 +26,23 @@ def _first(rows: DataFrame, key: str, *order) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1")
 
 
+#: Miles within which rows count as equally near until the query's own order decides.
+_TIE = 2e-6
+
+
+def _nearest_of_each(anchors: DataFrame, right: DataFrame, id_: str, kinds: list[str]) -> DataFrame:
+    """anchor_id, ``id_``, miles: the nearest rows of each kind (a condition), with those equally near."""
+    found = [nearest(anchors, right.where(kind), "anchor_id", id_, slack=_TIE) for kind in kinds]
+    out = found[0]
+    for other in found[1:]:
+        out = out.union(other)
+    return out
+
+
 def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segment whose nearer end is nearest; one that may only be climbed counts half a mile more."""
-    near = nearest(_rows(spark, sf_dir, _ANCHORS), _rows(spark, sf_dir, _ENDS), "anchor_id", "end_id", slack=0.5)
+    """The segment whose nearer end is nearest; one that may only be climbed counts half a mile more, so the nearest of both kinds decide."""
+    ends = _rows(spark, sf_dir, _ENDS.replace("SELECT seg_id * 2", "SELECT direction, seg_id * 2"))
+    near = _nearest_of_each(_rows(spark, sf_dir, _ANCHORS), ends, "end_id", ["direction = 'ascent'", "direction <> 'ascent'"])
     near = near.withColumn("seg_id", F.floor(F.col("end_id") / 2).cast("long")).join(_rows(spark, sf_dir, _SEGMENTS).select("seg_id", "direction"), "seg_id")
     score = F.floor((F.col("miles") + F.when(F.col("direction") == "ascent", 0.5).otherwise(0.0)) * 1e6 + 0.5)
     return _first(near, "anchor_id", score, "seg_id").select("anchor_id", "seg_id")

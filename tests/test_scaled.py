@@ -57,7 +57,7 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
     assert len(set(answers)) == 1
 
 
-NEAR = ("join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "str_04_name_similarity",)
+NEAR = ("join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "str_04_name_similarity",)
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,16 @@ def test_no_pairs_of_all_rows(spark, crowded, name):
 
 def test_triples_in_many_tasks(spark, crowded):
     assert catalog.queries()["opt_19_field_day_combos"](spark, crowded).rdd.getNumPartitions() >= 48
+
+
+@pytest.mark.parametrize("name", ["join_11_orientation_match"])
+def test_few_rows_kept_of_a_dense_place(spark, tmp_path, monkeypatch, name):
+    """Over a hundred segments within half a mile of an anchor: the search keeps the nearest of each kind, not all within its slack."""
+    from tessera.operators import nearest as module
+
+    parts = [5 + 185_000 * n for n in range(20)] + [k for k in range(185_000) if abs(k * 7919 % 5000 - 5 * 7919 % 5000) < 60 and abs(k * 104729 % 3700 - 5 * 104729 % 3700) < 40]
+    sf = tables(tmp_path, supplier={"s_suppkey": [(5 - 7) * pow(31, -1, 185_000) % 185_000], "s_name": ["a"], "s_acctbal": [1.0]}, part={"p_partkey": parts, "p_name": ["x"] * len(parts), "p_type": ["x"] * len(parts), "p_size": [k % 50 + 1 for k in parts]})
+    kept, keep = [], module.checkpointed
+    monkeypatch.setattr(module, "checkpointed", lambda df: kept.append(keep(df)) or kept[-1])
+    assert check(spark, connect(sf), catalog.queries()[name], catalog.oracle_sql()[name], sf) is None
+    assert len(parts) > 100 and max(df.count() for df in kept if "miles" in df.columns) < 60
