@@ -49,9 +49,15 @@ def _oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the segments up to half a mile farther than the nearest: those of a mile at least, then by direction, distance and id."""
-    near = nearest(_rows(spark, sf_dir, _ANCHORS), _rows(spark, sf_dir, _SEGMENTS), "anchor_id", "seg_id", slack=0.5)
-    near = near.join(_rows(spark, sf_dir, _SEGMENTS).select("seg_id", "direction", F.col("miles").alias("length")), "seg_id")
+    """Of the segments up to half a mile farther than the nearest: those of a mile at least, then by direction, distance and id.
+
+    The nearest of each length and direction decide; the nearest of all is one of them.
+    """
+    segments = _rows(spark, sf_dir, _SEGMENTS)
+    kinds = [f"{'' if long else 'NOT '}coalesce(miles >= 1, false) AND direction = '{d}'" for long in (True, False) for d in ("ascent", "both")]
+    near = _nearest_of_each(_rows(spark, sf_dir, _ANCHORS), segments, "seg_id", kinds)
+    near = near.withColumn("least", F.min("miles").over(Window.partitionBy("anchor_id"))).where(F.col("miles") <= F.col("least") + 0.5)
+    near = near.join(segments.select("seg_id", "direction", F.col("miles").alias("length")), "seg_id")
     return _first(near, "anchor_id", F.when(F.col("length") >= 1, 0).otherwise(1), "direction", F.floor(F.col("miles") * 1e6 + 0.5), "seg_id").select("anchor_id", "seg_id")
 
 

@@ -57,7 +57,7 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
     assert len(set(answers)) == 1
 
 
-NEAR = ("join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "str_04_name_similarity",)
+NEAR = ("join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "join_15_edge_preference", "str_04_name_similarity",)
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +88,7 @@ def test_triples_in_many_tasks(spark, crowded):
     assert catalog.queries()["opt_19_field_day_combos"](spark, crowded).rdd.getNumPartitions() >= 48
 
 
-@pytest.mark.parametrize("name", ["join_11_orientation_match"])
+@pytest.mark.parametrize("name", ["join_11_orientation_match", "join_15_edge_preference"])
 def test_few_rows_kept_of_a_dense_place(spark, tmp_path, monkeypatch, name):
     """Over a hundred segments within half a mile of an anchor: the search keeps the nearest of each kind, not all within its slack."""
     from tessera.operators import nearest as module
