@@ -57,7 +57,7 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
     assert len(set(answers)) == 1
 
 
-NEAR = ("join_05_nearest_within_tolerance", "join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "join_15_edge_preference", "str_04_name_similarity",)
+NEAR = ("join_05_nearest_within_tolerance", "join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "join_26_neighbour_top_k", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "join_15_edge_preference", "str_04_name_similarity",)
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +78,7 @@ def test_crowded_places(spark, crowded, name):
     assert check(spark, connect(crowded), catalog.queries()[name], catalog.oracle_sql()[name], crowded) is None
 
 
-@pytest.mark.parametrize("name", ["join_05_nearest_within_tolerance", "join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "grf_25_heal_graph", "srt_06_top_k_plus_forced", "join_09_best_match", "str_04_name_similarity"])
+@pytest.mark.parametrize("name", ["join_05_nearest_within_tolerance", "join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "join_26_neighbour_top_k", "grf_25_heal_graph", "srt_06_top_k_plus_forced", "join_09_best_match", "str_04_name_similarity"])
 def test_no_pairs_of_all_rows(spark, crowded, name):
     text = plan(catalog.queries()[name](spark, crowded))
     assert "NestedLoop" not in text and "Cartesian" not in text and "rank" not in text.lower() and "Window" not in text
