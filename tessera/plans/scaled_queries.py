@@ -9,6 +9,8 @@ SQL = {
     "SELECT 'every_outing_claims', unknown > 0 OR CASE WHEN every = 0 THEN outings ELSE named END = 0 FROM (SELECT count(*) AS outings, count(outing_id) AS named FROM (SELECT /*+ MERGE(l) */ o.outing_id FROM @outings() o LEFT ANTI JOIN lineitem l ON l.l_orderkey = o.outing_id) x) o CROSS JOIN "
     + _CLAIM_KEYS.format(key="l_orderkey")
     + " UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT seg_id) FROM @segments() s UNION ALL SELECT 'no_negative_minutes', min(minutes) >= 0 FROM @outings() o",
+    # Tracks meet the number of segments of a cell, not each of them.
+    "join_29_track_index_match": "WITH t AS (SELECT DISTINCT track_id, @floor(lon * 20) AS cx, @floor(lat * 20) AS cy FROM @track() t), s AS (SELECT @floor(lon * 20) AS cx, @floor(lat * 20) AS cy, count(*) AS n FROM @segments() s GROUP BY 1, 2) SELECT t.track_id, @isum(s.n) AS n FROM t JOIN s ON s.cx = t.cx AND s.cy = t.cy GROUP BY t.track_id",
     "opt_19_field_day_combos": "WITH l AS (SELECT anchor_id, lon, lat, 40 + anchor_id % 50 AS minutes FROM @anchors() a), p AS (SELECT /*+ REPARTITION(48) */ i.anchor_id AS a, j.anchor_id AS b, j.lat, i.minutes + j.minutes AS minutes FROM l i JOIN l j ON i.anchor_id < j.anchor_id AND abs(i.lat - j.lat) < 1e-1) SELECT p.a, p.b, k.anchor_id AS c, p.minutes + k.minutes AS minutes FROM p JOIN l k ON p.b < k.anchor_id AND abs(p.lat - k.lat) < 1e-1 WHERE p.minutes + k.minutes <= 200",
     "aud_15_schedule_proof": "SELECT issue, count(*) AS n FROM (SELECT 'over_bound' AS issue FROM @outings() o WHERE minutes > 360 UNION ALL "
     "SELECT 'uncovered' FROM (SELECT /*+ MERGE(l) */ s.seg_id FROM @segments() s LEFT ANTI JOIN lineitem l ON l.l_partkey = s.seg_id) s CROSS JOIN "

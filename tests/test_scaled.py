@@ -57,7 +57,7 @@ def test_sums_in_the_order_of_events(spark, tmp_path):
     assert len(set(answers)) == 1
 
 
-NEAR = ("join_05_nearest_within_tolerance", "join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "join_26_neighbour_top_k", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "join_15_edge_preference", "str_04_name_similarity",)
+NEAR = ("join_05_nearest_within_tolerance", "join_17_named_overlap", "join_19_endpoint_adjacency", "join_20_road_band", "join_26_neighbour_top_k", "join_29_track_index_match", "grf_25_heal_graph", "opt_19_field_day_combos", "srt_06_top_k_plus_forced", "join_09_best_match", "join_11_orientation_match", "join_15_edge_preference", "str_04_name_similarity")
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,11 @@ def test_no_pairs_of_all_rows(spark, crowded, name):
     assert "NestedLoop" not in text and "Cartesian" not in text and "rank" not in text.lower() and "Window" not in text
 
 
+def test_tracks_meet_counts(spark, crowded):
+    text = plan(catalog.queries()["join_29_track_index_match"](spark, crowded))
+    assert "sum(n#" in text
+
+
 def test_triples_in_many_tasks(spark, crowded):
     assert catalog.queries()["opt_19_field_day_combos"](spark, crowded).rdd.getNumPartitions() >= 48
 
