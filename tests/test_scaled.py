@@ -104,3 +104,8 @@ def test_few_rows_kept_of_a_dense_place(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(module, "checkpointed", lambda df: kept.append(keep(df)) or kept[-1])
     assert check(spark, connect(sf), catalog.queries()[name], catalog.oracle_sql()[name], sf) is None
     assert len(parts) > 100 and max(df.count() for df in kept if "miles" in df.columns) < 60
+
+
+@pytest.mark.parametrize("name", ["join_12_coverage_match"])
+def test_samples_are_not_built_in_the_driver(spark, name):
+    assert "BroadcastHashJoin" not in plan(catalog.queries()[name](spark, SF))
