@@ -106,6 +106,6 @@ def test_few_rows_kept_of_a_dense_place(spark, tmp_path, monkeypatch, name):
     assert len(parts) > 100 and max(df.count() for df in kept if "miles" in df.columns) < 60
 
 
-@pytest.mark.parametrize("name", ["join_12_coverage_match"])
+@pytest.mark.parametrize("name", ["join_12_coverage_match", "join_13_completion_review"])
 def test_samples_are_not_built_in_the_driver(spark, name):
     assert "BroadcastHashJoin" not in plan(catalog.queries()[name](spark, SF))
