@@ -89,3 +89,17 @@ def test_anchor_with_many_contexts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for length in (400, 150, 60):
         assert sorted(map(tuple, repeat_report(df, length).collect()), key=str) == plain(rows, length)
+
+
+def test_memory_of_a_sort():
+    """A sort holds less than 80 bytes for each byte of its contexts."""
+    import tracemalloc
+
+    text = np.random.default_rng(0).integers(97, 123, 512).astype(np.uint8)
+    data, bounds = np.tile(text, 200), np.arange(0, 200 * 512 + 1, 512)
+    owned = np.repeat(bounds[1:], 512) - np.arange(len(data)) >= 400
+    tracemalloc.start()
+    found = repeated_starts(data, bounds, owned, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, owned) and peak < 80 * len(data)
