@@ -3,6 +3,18 @@
 # What NOT IN means for nulls, without its broadcast of the other side: no row where that has a null, every row where it is empty.
 _CLAIM_KEYS = "(SELECT count(*) AS every, count_if({key} IS NULL) AS unknown FROM lineitem) k"
 _EVENT_ORDER = "array_sort(collect_list(CASE WHEN value IS NOT NULL THEN named_struct('e', event_id, 'v', value) END))"
+# Claims with the bits (of 256) that the outing's other segments hash to: outings that share a segment and none of these bits share
+# no other segment, so only the rest has to be counted. Both parts read one shuffle, so they take the same columns of it.
+_WORDS = range(4)
+_MARKED = (
+    "WITH c AS (SELECT DISTINCT l_orderkey AS outing_id, l_partkey AS seg_id FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IS NOT NULL) l), "
+    "b AS (SELECT *, count(*) OVER (PARTITION BY outing_id, bit) > 1 AS twice FROM (SELECT *, CAST(pmod(xxhash64(seg_id), 256) AS INT) AS bit FROM c)), "
+    f"w AS (SELECT *, {', '.join(f'CASE WHEN bit DIV 64 = {k} THEN shiftleft(1L, bit % 64) ELSE 0L END AS w{k}' for k in _WORDS)} FROM b), "
+    f"m AS (SELECT outing_id, seg_id, count(*) OVER (PARTITION BY outing_id) AS n, {', '.join(f'bit_or(w{k}) OVER (PARTITION BY outing_id) & ~CASE WHEN twice THEN 0L ELSE w{k} END AS w{k}' for k in _WORDS)} FROM w), "
+    "s AS (SELECT * FROM m WHERE seg_id IS NOT NULL) "
+)
+_PAIRS = "FROM s x JOIN s y ON x.seg_id = y.seg_id AND x.outing_id < y.outing_id AND (" + " | ".join(f"(x.w{k} & y.w{k})" for k in _WORDS) + ")"
+_BOTH_WAYS = "SELECT stack(2, a, b, CASE WHEN covered = bn THEN 'removed' ELSE 'shrunk' END, b, a, CASE WHEN covered = an THEN 'removed' ELSE 'shrunk' END) AS (subject, outing_id, effect) FROM"
 
 SQL = {
     "aud_06_requirements": "SELECT 'targets' AS gate, count(*) > 0 AS passed FROM @segments() s UNION ALL "
@@ -20,4 +32,6 @@ SQL = {
     "agg_09_five_numbers": f"WITH s AS (SELECT user_id, @day(ts) AS day, {_EVENT_ORDER} AS s, count(*) AS n FROM events GROUP BY user_id, @day(ts)), "
     "d AS (SELECT user_id, n, CASE WHEN size(s) > 0 THEN aggregate(s, 0e0, (t, x) -> t + x.v) END AS v FROM s) "
     "SELECT user_id, @q(min(v),1e2) AS lo, @q(@percentile(v,5e-1),1e1) AS mid, @q(max(v),1e2) AS hi, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi_days FROM d GROUP BY user_id",
+    "opt_33_removal_simulation": f"{_MARKED} {_BOTH_WAYS} (SELECT x.outing_id AS a, y.outing_id AS b, x.n AS an, y.n AS bn, 1L AS covered {_PAIRS} = 0) p UNION ALL "
+    f"{_BOTH_WAYS} (SELECT x.outing_id AS a, y.outing_id AS b, x.n AS an, y.n AS bn, count(*) AS covered {_PAIRS} <> 0 GROUP BY 1, 2, 3, 4) p",
 }
