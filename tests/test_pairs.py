@@ -48,3 +48,24 @@ def test_removal_shuffles_claims_not_pairs(spark, tmp_path):
     sf = claimed(tmp_path, [(o, s) for o in range(3600) for s in [o % 60]] + [(10_000 + o, 100 + o) for o in range(100)])
     rows, moved = shuffled(spark, catalog.queries()["opt_33_removal_simulation"], sf)
     assert rows == 60 * 60 * 59 and moved < 40_000
+
+
+def test_tail_of_odd_claims(spark, odd):
+    assert check(spark, connect(odd), catalog.queries()["join_27_tail_opportunities"], catalog.oracle_sql()["join_27_tail_opportunities"], odd) is None
+
+
+def test_tail_of_groups_over_batches(spark, odd):
+    """Groups go on over batches: one that becomes large, and one that ends with the last batch."""
+    query, sql = catalog.queries()["join_27_tail_opportunities"], catalog.oracle_sql()["join_27_tail_opportunities"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert check(spark, connect(odd), query, sql, odd) is None
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tail_shuffles_claims_not_pairs(spark, tmp_path):
+    # 100 short segments on one place, each outing claims one of them
+    sf = claimed(tmp_path, [(o, 185_000 * 50 * (o % 100)) for o in range(1000)], [185_000 * 50 * k for k in range(100)])
+    rows, moved = shuffled(spark, catalog.queries()["join_27_tail_opportunities"], sf)
+    assert rows == 1000 * 99 and moved < 20_000
