@@ -14,6 +14,15 @@ _MARKED = (
     "s AS (SELECT * FROM m WHERE seg_id IS NOT NULL) "
 )
 _PAIRS = "FROM s x JOIN s y ON x.seg_id = y.seg_id AND x.outing_id < y.outing_id AND (" + " | ".join(f"(x.w{k} & y.w{k})" for k in _WORDS) + ")"
+# Outings of one mask in blocks of 256 ids that lie together: blocks are joined, not outings, and an outing's partners stand one
+# after another in the order in which the next outing has them, which files hold in few bytes. Where blocks end is of no account.
+_MASK_BLOCKS = (
+    "WITH c AS (SELECT DISTINCT l_orderkey AS outing_id, l_partkey % 4 AS t FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IS NOT NULL) l), "
+    "m AS (SELECT outing_id, CAST(sum(CASE t WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END) AS BIGINT) AS mask FROM c GROUP BY outing_id), "
+    "s AS (SELECT * FROM (SELECT /*+ REPARTITION_BY_RANGE(mask, outing_id) */ * FROM m) m SORT BY mask, outing_id), "
+    "k AS (SELECT outing_id, mask, monotonically_increasing_id() DIV 256 AS block FROM s), "
+    "g AS (SELECT /*+ REPARTITION(24) */ mask, sort_array(collect_list(outing_id)) AS ids, min(outing_id) AS lo, max(outing_id) AS hi FROM k GROUP BY mask, block) "
+)
 _BOTH_WAYS = "SELECT stack(2, a, b, CASE WHEN covered = bn THEN 'removed' ELSE 'shrunk' END, b, a, CASE WHEN covered = an THEN 'removed' ELSE 'shrunk' END) AS (subject, outing_id, effect) FROM"
 
 SQL = {
@@ -32,6 +41,7 @@ SQL = {
     "agg_09_five_numbers": f"WITH s AS (SELECT user_id, @day(ts) AS day, {_EVENT_ORDER} AS s, count(*) AS n FROM events GROUP BY user_id, @day(ts)), "
     "d AS (SELECT user_id, n, CASE WHEN size(s) > 0 THEN aggregate(s, 0e0, (t, x) -> t + x.v) END AS v FROM s) "
     "SELECT user_id, @q(min(v),1e2) AS lo, @q(@percentile(v,5e-1),1e1) AS mid, @q(max(v),1e2) AS hi, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi_days FROM d GROUP BY user_id",
+    "opt_24_covering_combos": f"{_MASK_BLOCKS} SELECT a, b FROM (SELECT a, ids FROM (SELECT p.ids AS firsts, q.ids FROM g p JOIN g q ON (p.mask | q.mask) = 15 AND p.lo < q.hi) j LATERAL VIEW explode(firsts) x AS a) j LATERAL VIEW explode(ids) y AS b WHERE a < b",
     "opt_33_removal_simulation": f"{_MARKED} {_BOTH_WAYS} (SELECT x.outing_id AS a, y.outing_id AS b, x.n AS an, y.n AS bn, 1L AS covered {_PAIRS} = 0) p UNION ALL "
     f"{_BOTH_WAYS} (SELECT x.outing_id AS a, y.outing_id AS b, x.n AS an, y.n AS bn, count(*) AS covered {_PAIRS} <> 0 GROUP BY 1, 2, 3, 4) p",
 }

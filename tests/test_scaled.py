@@ -109,3 +109,16 @@ def test_few_rows_kept_of_a_dense_place(spark, tmp_path, monkeypatch, name):
 @pytest.mark.parametrize("name", ["join_12_coverage_match", "join_13_completion_review"])
 def test_samples_are_not_built_in_the_driver(spark, name):
     assert "BroadcastHashJoin" not in plan(catalog.queries()[name](spark, SF))
+
+
+def test_covering_combos_in_blocks(spark, tmp_path):
+    # Ids far apart, below zero and null, segments below zero and null, more outings of a mask than a block takes.
+    r = random.Random(4)
+    ids = r.sample(range(-(10**12), 10**12), 900) + list(range(2, 902))
+    claims = [(k, s) for k in ids for s in r.sample(range(1, 60), r.choice((1, 2, 3, 6)))] + [(ids[0], None), (ids[1], None), (ids[2], -1), (ids[2], -5), (None, 1), (None, 7)]
+    sf = tables(tmp_path, lineitem={"l_orderkey": pd.array([a for a, _ in claims], dtype="Int64"), "l_partkey": pd.array([b for _, b in claims], dtype="Int64")})
+    name = "opt_24_covering_combos"
+    catalog.queries()[name](spark, sf).coalesce(1).write.parquet(str(tmp_path / "out"))
+    got = pd.read_parquet(tmp_path / "out").sort_values(["a", "b"], ignore_index=True)
+    assert got.equals(connect(sf).execute(f"SELECT * FROM ({catalog.oracle_sql()[name]}) ORDER BY a, b").df())
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.8 * len(got)
