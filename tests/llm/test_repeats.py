@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import repeats, storage
+from tessera.llm import queries, repeats, storage
 from tessera.llm.repeats import repeat_report, repeated_starts, without_repeats
 
 
@@ -78,6 +78,16 @@ def test_repeated_and_empty(spark):
     assert repeat_report(df.limit(0)).count() == 0
 
 
+def test_query_gives_the_kept_text(spark, tmp_path):
+    passage = " ".join(f"wörd{k}é" for k in range(60))
+    rows = [(1, f"one {passage}é tail"), (2, f"two {passage}è end"), (3, "three stays é"), (4, None), (5, "€" * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in queries.op7_repeats(spark, str(tmp_path)).collect()}
+    assert sorted(tuple(r)[:5] for r in found.values()) == plain(rows, 400)
+    # The first byte of é and è repeats too, so a character is cut in part there; it goes whole.
+    assert {k: r.text for k, r in found.items()} == {1: "one tail", 2: "two end", 3: "three stays é", 4: "", 5: ""}
+
+
 def test_anchor_with_many_contexts(spark, monkeypatch):
     """A short line in front of many texts: its anchors have more contexts than one sort takes, some strings repeat."""
     monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 4)
