@@ -21,11 +21,13 @@ MILES_LON, MILES_LAT = 69.172, 69.0
 FOUND = "track_id long, seg_id long, close long, samples long"
 
 
-def _distance(x1, y1, x2, y2, lon, lat, scale) -> np.ndarray:
-    """Squared miles from points to the piece (x1, y1)-(x2, y2) on a plane at each point's latitude."""
-    ax, ay, dx, dy = (x1 - lon) * scale, (y1 - lat) * MILES_LAT, (x2 - x1) * scale, (y2 - y1) * MILES_LAT
-    square = dx * dx + dy * dy
-    square += square == 0
+def _distance(ax, ay, dy, across, scale) -> np.ndarray:
+    """Squared miles from the origin to pieces from (ax, ay); their other end lies ``across`` degrees (``scale`` miles each) and ``dy`` miles on."""
+    dx = across * scale
+    square = dx * dx
+    square += dy * dy
+    if not square.all():
+        square += square == 0
     t = ax * dx
     t += ay * dy
     t /= square
@@ -42,51 +44,64 @@ def _distance(x1, y1, x2, y2, lon, lat, scale) -> np.ndarray:
 
 
 class _Segments:
-    """Segments of a tile with equally many samples, by bands of latitude and the middle's longitude."""
+    """Segments of a tile with equally many samples, by bands of latitude and longitude; a row for each sample, a column for each segment.
 
-    def __init__(self, at, ids, lon, lat):
-        x0, x1, y0, y1 = np.fmin.reduce(lon, 1), np.fmax.reduce(lon, 1), np.fmin.reduce(lat, 1), np.fmax.reduce(lat, 1)
-        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+    A box that holds ``least`` of the samples reaches from the segment's low to its high side, which may lie below the low one.
+    """
+
+    def __init__(self, ids, lon, lat, least):
+        low_x, high_x, low_y, high_y = (f * np.sort(f * v, 0)[least - 1] for v in (lon, lat) for f in (1, -1))
+        known = np.flatnonzero(~np.isnan(low_x + high_x + low_y + high_y))
+        x, y = ((low_x + high_x) / 2)[known], ((low_y + high_y) / 2)[known]
+        self.empty = not len(known)
+        if self.empty:
+            return
         self.left, self.low = x.min(), y.min()
         self.span = x.max() - self.left
-        self.hx, self.hy = (x1 - x0).max() / 2 + 1e-9, (y1 - y0).max() / 2 + 1e-9
+        self.hx, self.hy = (max(0.0, (b - a)[known].max()) / 2 + 1e-9 for a, b in ((low_x, high_x), (low_y, high_y)))
         self.band = 2 * self.hy + 1e-3
         band = np.floor((y - self.low) / self.band)
         key = band * (self.span + 1) + (x - self.left)
         order = np.argsort(key, kind="stable")
         self.key, self.bands = key[order], int(band.max()) + 1
-        self.at, self.ids, self.lon, self.lat = at[order], ids[order], lon[order], lat[order]
-        self.box = x0[order], x1[order], y0[order], y1[order]
+        order = known[order]
+        self.ids, self.lon, self.lat = ids[order], np.ascontiguousarray(lon[:, order]), np.ascontiguousarray(lat[:, order])
+        self.box = low_x[order], high_x[order], low_y[order], high_y[order]
         self.scale = MILES_LON * np.cos(np.radians(self.lat))
 
-    def near(self, x0, x1, y0, y1):
-        """(piece, segment) whose boxes meet."""
-        first = np.clip(np.floor((y0 - self.hy - self.low) / self.band), 0, self.bands)
+    def near(self, pieces, x0, x1, y0, y1):
+        """(piece, segment) that may meet in ``least`` samples, of the given pieces."""
+        out, segments = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if self.empty or not len(pieces):
+            return out[0], segments[0]
+        x0, x1, y0, y1 = (v[pieces] for v in (x0, x1, y0, y1))
+        band = np.clip(np.floor((y0 - self.hy - self.low) / self.band), 0, self.bands)
         last = np.clip(np.floor((y1 + self.hy - self.low) / self.band), -1, self.bands - 1)
         left, right = (np.clip(v - self.left, -0.4, self.span + 0.4) for v in (x0 - self.hx, x1 + self.hx))
-        pieces, segments = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        band = first
         while len(some := np.flatnonzero(band <= last)):
             base = band[some] * (self.span + 1)
             a, b = np.searchsorted(self.key, base + left[some]), np.searchsorted(self.key, base + right[some], "right")
             n = np.maximum(b - a, 0)
             p, s = np.repeat(some, n), np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
-            bx0, bx1, by0, by1 = self.box
-            meet = (bx0[s] <= x1[p]) & (bx1[s] >= x0[p]) & (by0[s] <= y1[p]) & (by1[s] >= y0[p])
-            pieces.append(p[meet])
+            low_x, high_x, low_y, high_y = self.box
+            meet = (low_y[s] <= y1[p]) & (high_y[s] >= y0[p])
+            meet &= (low_x[s] <= x1[p]) & (high_x[s] >= x0[p])
+            out.append(pieces[p[meet]])
             segments.append(s[meet])
             band = band + 1
-        return np.concatenate(pieces), np.concatenate(segments)
+        return np.concatenate(out), np.concatenate(segments)
 
 
-def _tile(ids, lists):
-    """The segments of a tile by their number of samples: lists hold all longitudes and then all latitudes."""
+def _tile(ids, lists, min_fraction=0.0):
+    """The segments of a tile by their number of samples, for pieces that are alone and for others: lists hold all longitudes and then all latitudes."""
     sizes, values, starts = np.diff(lists[1]) // 2, lists[0], lists[1][:-1]
     out = []
     for n in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == n)
-        v = values[starts[at][:, None] + np.arange(2 * n)]
-        out.append(_Segments(at, ids[at], v[:, :n], v[:, n:]))
+        v = values[np.arange(2 * n)[:, None] + starts[at]]
+        least = 1 + int(np.count_nonzero(np.arange(1, n) / n < min_fraction))
+        every = _Segments(ids[at], v[:n], v[n:], 1)
+        out.append((n, every if least == 1 else _Segments(ids[at], v[:n], v[n:], least), every))
     return out
 
 
@@ -95,30 +110,42 @@ def _counts(tile, track, v, reach, wide, tall):
     x, y = v[:, 0::2], v[:, 1::2]
     box = np.fmin.reduce(x, 1) - wide, np.fmax.reduce(x, 1) + wide, np.fmin.reduce(y, 1) - tall, np.fmax.reduce(y, 1) + tall
     of = np.cumsum(np.concatenate([[0], track[1:] != track[:-1]]))
-    # Pieces of one track may be near the same sample, which counts once.
-    many = np.bincount(of)[of] > 1
-    square, out = reach * reach, []
-    for group in tile:
-        pieces, segments = group.near(*box)
-        n = group.lon.shape[1]
-        step, again = max(1, AT_ONCE // n), []
+    # Pieces of one track may be near the same sample, which counts once, and only together near enough samples.
+    alone = np.bincount(of)[of] == 1
+    square, out, ends = reach * reach, [], np.ascontiguousarray(v.T)
+    across = ends[2] - ends[0], ends[4] - ends[2]
+    along = (ends[3] - ends[1]) * MILES_LAT, (ends[5] - ends[3]) * MILES_LAT
+    lone, others = np.flatnonzero(alone), np.flatnonzero(~alone)
+    for n, few, every in tile:
+        step = max(1, AT_ONCE // n)
+
+        def close_to(group, p, s):
+            lon, lat, scale = (np.take(c, s, axis=1) for c in (group.lon, group.lat, group.scale))
+            near = None
+            for k in (0, 1):
+                ax, ay = (ends[2 * k][p] - lon), (ends[2 * k + 1][p] - lat)
+                ax *= scale
+                ay *= MILES_LAT
+                got = _distance(ax, ay, along[k][p], across[k][p], scale) <= square
+                near = got if near is None else near | got
+            return near
+
+        small = np.int16 if n < 32768 else np.int64
+        pieces, segments = few.near(lone, *box)
+        for begin in range(0, len(pieces), step):
+            p, s = pieces[begin : begin + step], segments[begin : begin + step]
+            close = np.add.reduce(close_to(few, p, s), 0, dtype=small)
+            p, s, close = (c[close > 0] for c in (p, s, close))
+            out.append((track[p], few.ids[s], close, np.full(len(p), n)))
+        again, (pieces, segments) = [], every.near(others, *box)
         for begin in range(0, len(pieces), step):
             p, s = pieces[begin : begin + step], segments[begin : begin + step]
-            lon, lat, scale = group.lon[s], group.lat[s], group.scale[s]
-            a, b, c, d, e, f = (v[p, k][:, None] for k in range(6))
-            near = _distance(a, b, c, d, lon, lat, scale) <= square
-            near |= _distance(c, d, e, f, lon, lat, scale) <= square
-            close = np.count_nonzero(near, 1)
-            twice = many[p]
-            once = (close > 0) & ~twice
-            out.append((track[p[once]], group.ids[s[once]], close[once], np.full(np.count_nonzero(once), n)))
-            if twice.any():
-                row, k = np.nonzero(near[twice])
-                again.append((of[p[twice][row]] * len(group.ids) + s[twice][row]) * n + k)
+            k, row = np.nonzero(close_to(every, p, s))
+            again.append((of[p[row]] * len(every.ids) + s[row]) * n + k)
         if again:
             pair, close = np.unique(np.unique(np.concatenate(again)) // n, return_counts=True)
-            first = np.searchsorted(of, pair // len(group.ids))
-            out.append((track[first], group.ids[pair % len(group.ids)], close, np.full(len(pair), n)))
+            first = np.searchsorted(of, pair // len(every.ids))
+            out.append((track[first], every.ids[pair % len(every.ids)], close, np.full(len(pair), n)))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
@@ -147,7 +174,7 @@ def _walk(reach: float, wide: float, tall: float, min_fraction: float):
                 if not piece[a]:
                     if last:
                         return found, b - a
-                    tile, at = _tile(ids[a:b], (values, offsets[a : b + 1])), tiles[a]
+                    tile, at = _tile(ids[a:b], (values, offsets[a : b + 1]), min_fraction), tiles[a]
                     continue
                 end = a + int(np.searchsorted(ids[a:b], ids[b - 1])) if last else b
                 if at == tiles[a] and end > a:
